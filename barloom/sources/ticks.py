@@ -1,0 +1,59 @@
+"""Ticks from the events table, and candles from ticks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, ts_ms, tick_id, price decimal(18,2), qty."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.upper("event_type").alias("symbol"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
+        F.col("event_id").alias("tick_id"),
+        F.col("value").cast("decimal(18,2)").alias("price"),
+        F.get_json_object("props", "$.k").cast("long").alias("qty"),
+    )
+
+
+def candles(ticks: DataFrame, tf_ms: int) -> DataFrame:
+    """One candle per symbol and time bucket with a tick; combined before the shuffle."""
+    return (
+        ticks.groupBy("symbol", (F.floor(F.col("ts_ms") / F.lit(tf_ms)) * tf_ms).cast("long").alias("open_ms"))
+        .agg(
+            F.min_by("price", "tick_id").alias("open"),
+            F.max("price").alias("high"),
+            F.min("price").alias("low"),
+            F.max_by("price", "tick_id").alias("close"),
+            F.sum("qty").cast("long").alias("volume"),
+            F.sum((F.col("price") * F.col("qty")).cast("decimal(28,2)")).cast("decimal(38,2)").alias("quote_volume"),
+            F.count("*").alias("trade_count"),
+        )
+        .withColumn("close_ms", F.col("open_ms") + tf_ms - 1)
+    )
+
+
+def candles_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candles(read_ticks(spark, sf_dir), 3_600_000)
+
+
+TICKS_SQL = """
+ticks AS (
+  SELECT upper(event_type) AS symbol, epoch_ms(ts) AS ts_ms, event_id AS tick_id,
+         CAST(value AS DECIMAL(18,2)) AS price,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS qty
+  FROM events)"""
+
+
+def candles_sql(tf_ms: int, name: str = "candles") -> str:
+    return f"""
+{name} AS (
+  SELECT symbol, CAST(ts_ms // {tf_ms} * {tf_ms} AS BIGINT) AS open_ms,
+         min_by(price, tick_id) AS open, max(price) AS high, min(price) AS low, max_by(price, tick_id) AS close,
+         CAST(sum(qty) AS BIGINT) AS volume, CAST(sum(price * qty) AS DECIMAL(38,2)) AS quote_volume,
+         count(*) AS trade_count, CAST(ts_ms // {tf_ms} * {tf_ms} + {tf_ms} - 1 AS BIGINT) AS close_ms
+  FROM ticks GROUP BY symbol, ts_ms // {tf_ms})"""
+
+
+CANDLES_1H_SQL = f"WITH {TICKS_SQL}, {candles_sql(3_600_000)} SELECT * FROM candles"
