@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from barloom.llm.packing import op4_packing
+from barloom.llm.records import op6_records
 from barloom.llm.sharding import op10_sharding
 from barloom.llm.simhash import op1_simhash
 
-QUERIES = {"op1_simhash": op1_simhash, "op10_sharding": op10_sharding}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op4_packing": op4_packing,
+    "op6_records": op6_records,
+    "op10_sharding": op10_sharding,
+}
 ORACLES: dict[str, str] = {}
