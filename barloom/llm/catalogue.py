@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from barloom.llm.bpe import op5_bpe
 from barloom.llm.packing import op4_packing
 from barloom.llm.records import op6_records
 from barloom.llm.sharding import op10_sharding
@@ -10,6 +11,7 @@ from barloom.llm.simhash import op1_simhash
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_packing": op4_packing,
+    "op5_bpe": op5_bpe,
     "op6_records": op6_records,
     "op10_sharding": op10_sharding,
 }
