@@ -7,12 +7,15 @@ from barloom.llm.packing import op4_packing
 from barloom.llm.records import op6_records
 from barloom.llm.sharding import op10_sharding
 from barloom.llm.simhash import op1_simhash
+from barloom.llm.warc import ORACLE_SQL as OP9_SQL
+from barloom.llm.warc import op9_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op6_records": op6_records,
+    "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}

@@ -129,7 +129,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0,
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 if out is None:
-                    out = fs.open_output_stream(draft)
+                    out = fs.open_output_stream(draft, compression=None)
                 ids = np.concatenate([np.frombuffer(encode(text.as_py() or ""), "<u4"), end])
                 framed = frame(payload_of(doc_id, ids))
                 out.write(framed)
@@ -166,7 +166,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         fs, folder = pyarrow.fs.FileSystem.from_uri(path)
         for b in batches:
             for file, start, size in zip(*(b.column(i).to_pylist() for i in range(3))):
-                with fs.open_input_stream(f"{folder}/records/{file}", buffer_size=1 << 20) as stream:
+                with fs.open_input_stream(f"{folder}/records/{file}", compression=None, buffer_size=1 << 20) as stream:
                     rows, held, seen = [], 0, 0
                     while (payload := read_frame(stream)) is not None:
                         doc_id, ids = parse(payload)
