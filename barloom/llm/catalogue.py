@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from barloom.llm.bpe import op5_bpe
+from barloom.llm.licenses import op2_licenses
 from barloom.llm.packing import op4_packing
 from barloom.llm.records import op6_records
 from barloom.llm.sharding import op10_sharding
@@ -12,6 +13,7 @@ from barloom.llm.warc import op9_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_licenses": op2_licenses,
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op6_records": op6_records,
