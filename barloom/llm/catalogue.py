@@ -5,6 +5,8 @@ from __future__ import annotations
 from barloom.llm.bpe import op5_bpe
 from barloom.llm.licenses import op2_licenses
 from barloom.llm.packing import op4_packing
+from barloom.llm.quality_classifier import op8_quality_classifier
+from barloom.llm.quality_rules import op3_quality_rules
 from barloom.llm.records import op6_records
 from barloom.llm.sharding import op10_sharding
 from barloom.llm.simhash import op1_simhash
@@ -14,9 +16,11 @@ from barloom.llm.warc import op9_warc
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
+    "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op6_records": op6_records,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
 }
