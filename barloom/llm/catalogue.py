@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from barloom.llm.bpe import op5_bpe
+from barloom.llm.embedding_dedup import op7_embedding_dedup
 from barloom.llm.licenses import op2_licenses
 from barloom.llm.packing import op4_packing
 from barloom.llm.quality_classifier import op8_quality_classifier
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_bpe": op5_bpe,
     "op6_records": op6_records,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
