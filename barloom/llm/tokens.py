@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from itertools import product
 
 import numpy as np
 
@@ -17,6 +19,9 @@ REMEMBERED = 1_000_000
 LONGEST = 64
 
 _BLANK_RUNS = re.compile(r"\s{3}|\s{2}\Z|[\x00\x1c-\x1f]")
+#: Blanks but space and line feed, and characters that Python and the library do not agree on.
+_RARE = "\x00\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+_TRIPLES = ["".join(x) for x in product(" \n", repeat=3)]
 
 
 def load(path: str):
@@ -52,17 +57,18 @@ class PieceEncoder:
         if pieces is None:
             return self.library(text)
         known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({p for p in pieces if p not in known})
-        own = {}
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            (known if len(p) <= LONGEST else own)[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[p] if p in known else own[p] for p in pieces])
+        out = list(map(known.get, pieces))
+        if None in out:
+            if len(known) > REMEMBERED:
+                known.clear()
+            gaps = [i for i, x in enumerate(out) if x is None]
+            new = list({pieces[i] for i in gaps})
+            ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            own = dict(zip(new, ids))
+            for i in gaps:
+                out[i] = own[pieces[i]]
+            known.update((p, x) for p, x in own.items() if len(p) <= LONGEST)
+        return b"".join(out)
 
 
 class ByteLevelEncoder(PieceEncoder):
@@ -74,7 +80,10 @@ class ByteLevelEncoder(PieceEncoder):
     """
 
     def pieces(self, text: str) -> list[str] | None:
-        if _BLANK_RUNS.search(text):
+        if any(c in text for c in _RARE):
+            if _BLANK_RUNS.search(text):
+                return None
+        elif any(c in text for c in _TRIPLES) or (len(text) > 1 and text[-2:].isspace()):
             return None
         cut = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         return cut if cut[0] else cut[1:]
