@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from barloom.sources.ticks import candles_1h, CANDLES_1H_SQL
+from barloom.operators import indicators, structure, validation
+from barloom.plans.sql import register
 
-FLAGSHIP = "candles_1h"
-QUERIES = {"candles_1h": candles_1h}
-ORACLES = {"candles_1h": CANDLES_1H_SQL}
+FLAGSHIP = "swings_4h"
+QUERIES, ORACLES = {}, {}
+for _module in (validation, indicators, structure):
+    _queries, _oracles = register(_module.SQL)
+    QUERIES |= _queries
+    ORACLES |= _oracles
