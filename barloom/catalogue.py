@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from barloom.operators import indicators, structure, validation
+from barloom.operators import events, indicators, joins, ledger_stats, structure, validation
 from barloom.plans.sql import register
 
 FLAGSHIP = "swings_4h"
 QUERIES, ORACLES = {}, {}
-for _module in (validation, indicators, structure):
+for _module in (validation, indicators, structure, events, joins, ledger_stats):
     _queries, _oracles = register(_module.SQL)
     QUERIES |= _queries
     ORACLES |= _oracles
