@@ -272,7 +272,8 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     a = blocks.select("key", F.col("block").alias("i"), F.col("fps").alias("a"))
     b = blocks.select("key", F.col("block").alias("j"), F.col("fps").alias("b"))
     pairs = a.join(b, "key").where("i < j").select("a", "b")
-    return near.union(pairs.repartition().mapInArrow(across, "u long, v long"))
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return near.union(pairs.repartition(tasks).mapInArrow(across, "u long, v long"))
 
 
 def simhash_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
