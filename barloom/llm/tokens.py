@@ -21,6 +21,8 @@ LONGEST = 64
 _BLANK_RUNS = re.compile(r"\s{3}|\s{2}\Z|[\x00\x1c-\x1f]")
 #: Blanks but space and line feed, and characters that Python and the library do not agree on.
 _RARE = "\x00\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+#: A Latin letter and the ASCII marks, but for the apostrophe, that end a piece.
+_MARKED = re.compile(r"(.*[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u024F])([!-&(-/:-@\[-`{-~]+)", re.S)
 _TRIPLES = ["".join(x) for x in product(" \n", repeat=3)]
 
 
@@ -62,14 +64,17 @@ class PieceEncoder:
             if len(known) > REMEMBERED:
                 known.clear()
             gaps = [i for i, x in enumerate(out) if x is None]
-            new = list({pieces[i] for i in gaps})
-            ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            own = dict(zip(new, ids))
+            own = self.fresh(list({pieces[i] for i in gaps}))
             for i in gaps:
                 out[i] = own[pieces[i]]
             known.update((p, x) for p, x in own.items() if len(p) <= LONGEST)
         return b"".join(out)
 
+    def fresh(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that the table lacks."""
+        ids = [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        return dict(zip(new, ids))
+
 
 class ByteLevelEncoder(PieceEncoder):
     """A byte-level vocabulary whose words take one blank before them.
@@ -90,11 +95,29 @@ class ByteLevelEncoder(PieceEncoder):
 
 
 class WordEncoder(PieceEncoder):
-    """A vocabulary with word ends, which drops blanks: a text is cut at each space and line feed."""
+    """A vocabulary with word ends, which drops blanks: a text is cut at each space and line feed.
+
+    Its words are runs of letters in lower case, and marks stand apart from them, so
+    a new piece is looked up again without its case and the marks at its end.
+    """
 
     def pieces(self, text: str) -> list[str] | None:
         return [p for p in text.replace("\n", " ").split(" ") if p]
 
+    def fresh(self, new: list[str]) -> dict[str, bytes]:
+        parts = {}
+        for p in new:
+            m = _MARKED.fullmatch(p)
+            stem, marks = m.groups() if m else (p, "")
+            parts[p] = (stem.lower() if stem.isascii() and stem.isalpha() else stem, marks)
+        known = self.known
+        own = super().fresh(list({q for pair in parts.values() for q in pair if q and q not in known}))
+        own[""] = b""
+        for p, pair in parts.items():
+            stem, marks = (own[q] if q in own else known[q] for q in pair)
+            own[p] = stem + marks
+        return own
+
 
 _LOADED: dict[tuple[str, str], PieceEncoder] = {}
 
