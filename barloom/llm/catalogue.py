@@ -5,6 +5,7 @@ from __future__ import annotations
 from barloom.llm.bpe import op5_bpe
 from barloom.llm.embedding_dedup import op7_embedding_dedup
 from barloom.llm.licenses import op2_licenses
+from barloom.llm.oracles import ORACLES as SQL_ORACLES
 from barloom.llm.packing import op4_packing
 from barloom.llm.quality_classifier import op8_quality_classifier
 from barloom.llm.quality_rules import op3_quality_rules
@@ -26,4 +27,4 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {"op9_warc": OP9_SQL}
+ORACLES: dict[str, str] = {"op9_warc": OP9_SQL} | SQL_ORACLES
