@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.runtime import prefix_sums
 from barloom.sources.frames import FRAMES
 
 RESAMPLES, SEED = 200, 20240101
@@ -33,8 +34,8 @@ def draws(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
     return np.searchsorted(_POISSON, u, side="right")
 
 
-def bootstrap_mean(values: DataFrame, group: str, value: str, key: str, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    """(group, n, mean, low, high, p_value): a 95 % percentile interval of the mean and its two-sided p-value."""
+def replicates(rows: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """(g, b, m): the mean of each resample b of the rows (g, x, k)."""
 
     def sums(parts):
         for p in parts:
@@ -42,10 +43,14 @@ def bootstrap_mean(values: DataFrame, group: str, value: str, key: str, resample
                 w = draws(rows["k"].to_numpy(np.int64), resamples, seed)
                 yield pd.DataFrame({"g": g, "b": np.arange(resamples), "n": w.sum(axis=0), "s": w.T @ rows["x"].to_numpy(float)})
 
+    return rows.mapInPandas(sums, "g string, b long, n long, s double").groupBy("g", "b").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
+
+
+def bootstrap_mean(values: DataFrame, group: str, value: str, key: str, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """(group, n, mean, low, high, p_value): a 95 % percentile interval of the mean and its two-sided p-value."""
     rows = values.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"), F.col(key).cast("long").alias("k")).where("x is not null")
-    reps = rows.mapInPandas(sums, "g string, b long, n long, s double").groupBy("g", "b").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
     point = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
-    spread = reps.groupBy("g").agg(
+    spread = replicates(rows, resamples, seed).groupBy("g").agg(
         F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"),
         F.count_if(F.col("m") <= 0).alias("below"), F.count_if(F.col("m") >= 0).alias("above"),
     )
@@ -53,6 +58,32 @@ def bootstrap_mean(values: DataFrame, group: str, value: str, key: str, resample
     return point.join(spread, "g").select(F.col("g").alias(group), "n", "mean", "low", "high", p.alias("p_value"))
 
 
+def paired_difference(events: DataFrame, baseline: DataFrame, group: str, value: str, order: list[str], resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """(group, n, mean, low, high, p_value) of the events' mean less the baseline's, with both drawn by one index.
+
+    The row at place j of the events goes with the baseline's at j modulo its
+    length, places by ``order``. p is the share of resamples at least as far from 0
+    as the difference itself, (extreme + 1) / (resamples + 1); they are not centred.
+    Groups that one side lacks are left out; null values are not rows.
+    """
+
+    def placed(side: DataFrame, name: str) -> DataFrame:
+        rows = side.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias(name), *[F.col(c).alias(f"o{j}") for j, c in enumerate(order)])
+        by = [f"o{j}" for j in range(len(order))]
+        return prefix_sums(rows, by, {"at": F.lit(1).cast("long")}, keys=["g"], tag=f"paired-{name}").drop(*by)
+
+    e, b = placed(events, "ex"), placed(baseline, "bx")
+    point = e.groupBy("g").agg(F.count("*").alias("n"), F.avg("ex").alias("em")).join(b.groupBy("g").agg(F.count("*").alias("nb"), F.avg("bx").alias("bm")), "g")
+    rows = e.join(point.select("g", "nb"), "g").select("g", "ex", F.col("at").alias("k"), (F.col("at") % F.col("nb")).alias("at")).join(b, ["g", "at"])
+    point = point.select("g", "n", (F.col("em") - F.col("bm")).alias("mean"))
+    reps = replicates(rows.select("g", (F.col("ex") - F.col("bx")).alias("x"), "k"), resamples, seed).join(point, "g")
+    spread = reps.groupBy("g", "n", "mean").agg(
+        F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count_if(F.abs("m") >= F.abs("mean")).alias("extreme")
+    )
+    p = F.when(F.col("n") >= 2, (F.col("extreme") + 1) / F.lit(resamples + 1))
+    return spread.select(F.col("g").alias(group), "n", "mean", "low", "high", p.alias("p_value"))
+
+
 def bootstrap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = FRAMES["ledger"][0](spark, sf_dir)
     key = F.xxhash64("trade_key", "line", "part_key", "supp_key", "net_u", "notional_u")
@@ -65,6 +96,13 @@ def clustered_bootstrap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap_mean(trades.withColumn("key", F.xxhash64("run_id", "entry_month")), "run_id", "net_r", "key")
 
 
+def paired_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long trades against short ones of the same run, in the ledger's order."""
+    trades = FRAMES["ledger"][0](spark, sf_dir)
+    order = ["exit_day", "entry_day", "trade_key", "line", "part_key", "supp_key", "net_u", "notional_u", "cost_u"]
+    return paired_difference(trades.where("side = 'long'"), trades.where("side = 'short'"), "run_id", "net_r", order)
+
+
 def monte_carlo_paths(spark: SparkSession, sf_dir: str, paths: int = 200, block: int = 10, fraction: float = 0.001) -> DataFrame:
     """Circular block bootstrap of each run's daily R, compounded: terminal wealth and drawdown by run.
 
@@ -90,4 +128,4 @@ def monte_carlo_paths(spark: SparkSession, sf_dir: str, paths: int = 200, block:
     )
 
 
-QUERIES = {"bootstrap_runs": bootstrap_runs, "clustered_bootstrap_runs": clustered_bootstrap_runs, "monte_carlo_paths": monte_carlo_paths}
+QUERIES = {"bootstrap_runs": bootstrap_runs, "clustered_bootstrap_runs": clustered_bootstrap_runs, "paired_sides": paired_sides, "monte_carlo_paths": monte_carlo_paths}
