@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from barloom.operators import events, folds, indicators, joins, ledger_stats, setups, simulation, structure, validation
-from barloom.plans import backtest
+from barloom.plans import backtest, portfolio
 from barloom.plans.sql import register
 from barloom.sources import files
 from barloom.streaming import candles as streaming
@@ -14,6 +14,6 @@ for _module in (validation, indicators, structure, events, joins, ledger_stats):
     _queries, _oracles = register(_module.SQL)
     QUERIES |= _queries
     ORACLES |= _oracles
-for _module in (folds, setups, simulation, backtest, streaming, files):
+for _module in (folds, setups, simulation, backtest, portfolio, streaming, files):
     QUERIES |= _module.QUERIES
 ORACLES |= streaming.ORACLES | files.ORACLES
