@@ -27,11 +27,16 @@ def wilder_and_ema(bars: DataFrame, step_ms: int, n: int = 14, ema_n: int = 20)
     """(symbol, i, segment, atr, ema): Wilder's ATR and an EMA with a mean as its seed, restarted at each gap.
 
     Both are null until a segment has n (ema_n) bars. A segment's first true range
-    is its bar's own range.
+    is its bar's own range. Segments too short for either share one group of their
+    symbol, so that bars with many gaps do not make a call for each.
     """
+    short = -1
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("i")
+        if g["part"].iloc[0] == short:
+            none = pd.array([None] * len(g), "Float64")
+            return pd.DataFrame({"symbol": g["symbol"].array, "i": g["i"].array, "segment": g["segment"].array, "atr": none, "ema": none})
         before = g["c"].shift()
         tr = pd.concat([g["h"] - g["l"], (g["h"] - before).abs(), (g["l"] - before).abs()], axis=1).max(axis=1).tolist()
         close = g["c"].tolist()
@@ -49,7 +54,9 @@ def wilder_and_ema(bars: DataFrame, step_ms: int, n: int = 14, ema_n: int = 20)
             ema.append(e)
         return pd.DataFrame({"symbol": g["symbol"], "i": g["i"], "segment": g["segment"], "atr": pd.array(atr, "Float64").round(6), "ema": pd.array(ema, "Float64").round(6)})
 
-    return segments(bars, step_ms).select("symbol", "i", "segment", "h", "l", "c").groupBy("symbol", "segment").applyInPandas(fold, "symbol string, i long, segment long, atr double, ema double")
+    size = F.count("*").over(Window.partitionBy("symbol", "segment"))
+    rows = segments(bars, step_ms).select("symbol", "i", "segment", "h", "l", "c", F.when(size < min(n, ema_n), short).otherwise(F.col("segment")).alias("part"))
+    return rows.groupBy("symbol", "part").applyInPandas(fold, "symbol string, i long, segment long, atr double, ema double")
 
 
 def episodes(events: DataFrame, horizon: int = 12) -> DataFrame:
