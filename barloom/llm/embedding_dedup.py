@@ -162,32 +162,60 @@ def _centers(reps: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     return found
 
 
+def shards_asked(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(near, asked): each unit row's OVERLAP nearest centres, and a mask of the centres whose shards it asks.
+
+    A row asks its own shard, and each of a higher number that may own a vector in
+    range: some point of the cap around the row lies on the other side of the plane
+    between the two centres. So of any two rows in range, one asks the other's shard.
+    """
+    sim = x @ c.T
+    near = np.argsort(-sim, axis=1, kind="stable")[:, :OVERLAP]
+    own = near[:, 0]
+    gap = sim[np.arange(len(x)), own][:, None] - sim
+    norms = (c * c).sum(axis=1)
+    apart = norms[own][:, None] + norms[None, :] - 2 * (c[own] @ c.T)
+    asked = THRESHOLD * gap <= math.sqrt(1 - THRESHOLD * THRESHOLD) * np.sqrt(np.maximum(0, apart - gap * gap)) + 1e-9
+    asked &= np.arange(len(c))[None, :] > own[:, None]
+    asked[np.arange(len(x)), own] = True
+    return near, asked
+
+
 def _members(reps: DataFrame) -> DataFrame:
-    """(cell, shard, rep, key, first): each distinct vector in its OVERLAP nearest shards; a cell is a part of a shard."""
+    """(shard, rep, key, node, asks, part, parts, blocks): each distinct vector in its OVERLAP nearest shards as a node, and in those it asks."""
     centers = reps.sparkSession.sparkContext.broadcast(_centers(reps))  # total / SHARD rows, of at most SAMPLE
+    names = ["shard", "rep", "key", "node", "asks"]
+    kinds = (pa.string(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_())
 
     def task(batches):
         table = centers.value
         for b in batches:
-            rows = []
             labels, ids, keys = (b.column(i).to_pylist() for i in range(3))
             groups: dict[tuple[str, int], list[int]] = {}
             for i, (label, key) in enumerate(zip(labels, keys)):
                 groups.setdefault((label, len(key)), []).append(i)
-            for (label, size), at in groups.items():
+            for (label, size), every in groups.items():
                 c = table.get((label, size))
-                if c is None or len(c) < 2:
-                    rows += [(f"{label}/{size}/0", ids[i], keys[i], True) for i in at]
-                    continue
-                near = np.argsort(-(unit([keys[i] for i in at]) @ c.T), axis=1, kind="stable")[:, :OVERLAP]
-                for i, shards in zip(at, near.tolist()):
-                    rows += [(f"{label}/{size}/{s}", ids[i], keys[i], k == 0) for k, s in enumerate(shards)]
-            kinds = (pa.string(), pa.int64(), pa.binary(), pa.bool_())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=["shard", "rep", "key", "first"])
-
-    dealt = cut(reps.select("label", "rep", "key").mapInArrow(task, "shard string, rep long, key binary, first boolean"), "vectors-dealt")
-    parts = dealt.groupBy(F.col("shard").alias("__shard")).agg(F.ceil(F.count("*") / SHARD_MOST).cast("int").alias("parts"))
-    split = dealt.join(parts, F.col("shard") == F.col("__shard")).drop("__shard")
+                for k in range(0, len(every), 512):
+                    at = every[k : k + 512]
+                    if c is None or len(c) < 2:
+                        rows = [(f"{label}/{size}/0", ids[i], keys[i], True, True) for i in at]
+                    else:
+                        near, asked = shards_asked(unit([keys[i] for i in at]), c)
+                        joined = np.zeros(asked.shape, bool)
+                        np.put_along_axis(joined, near, True, axis=1)
+                        rows = [
+                            (f"{label}/{size}/{s}", ids[at[j]], keys[at[j]], bool(joined[j, s]), bool(asked[j, s]))
+                            for j, s in zip(*(r.tolist() for r in np.nonzero(joined | asked)))
+                        ]
+                    yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=names)
+
+    dealt = cut(reps.select("label", "rep", "key").mapInArrow(task, "shard string, rep long, key binary, node boolean, asks boolean"), "vectors-dealt")
+    sizes = dealt.groupBy(F.col("shard").alias("__shard")).agg(
+        F.greatest(F.lit(1), F.ceil(F.count_if("node") / SHARD_MOST)).cast("int").alias("parts"),
+        F.max(F.lit(1)).alias("blocks"),
+    )
+    split = dealt.join(sizes, F.col("shard") == F.col("__shard")).drop("__shard")
     return cut(split.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int")), "vectors-members")
 
 
@@ -203,13 +231,16 @@ def graph_links(reps: DataFrame) -> DataFrame:
         links = build_graph(unit(table.column("key").to_pylist()))
         return pa.table({"rep": pa.array(ids), "near": pa.array([ids[v].tolist() for v in links], pa.list_(pa.int64()))})
 
-    own = members.select("shard", "part", "rep", "key").groupBy("shard", "part").applyInArrow(build, "rep long, near array<long>")
+    own = members.where("node").select("shard", "part", "rep", "key").groupBy("shard", "part").applyInArrow(build, "rep long, near array<long>")
     # The union of a vector's lists: one from each shard it joined.
     union = own.groupBy(F.col("rep").alias("__rep")).agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    nodes = members.join(union, F.col("rep") == F.col("__rep")).select("shard", "part", "rep", "key", "near", F.lit(True).alias("node"), (F.col("first") & (F.col("parts") == 1)).alias("asks"))
-    # A shard in parts: its vectors ask every part.
+    # A part's nodes meet the askers of their shard in blocks; a group holds one part and one block.
+    blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    nodes = members.where("node").join(union, F.col("rep") == F.col("__rep")).select("shard", "part", blocks, "rep", "key", "near", F.lit(True).alias("node"))
     none = F.array().cast("array<long>")
-    asking = members.where("first and parts > 1").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep", "key", none.alias("near"), F.lit(False).alias("node"), F.lit(True).alias("asks"))
+    block = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks").cast("long")).cast("int").alias("block")
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    asking = members.where("asks").select("shard", parts, block, "rep", "key", none.alias("near"), F.lit(False).alias("node"))
 
     def search(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy(zero_copy_only=False)
@@ -222,7 +253,7 @@ def graph_links(reps: DataFrame) -> DataFrame:
             links = [np.array([at[v] for v in near if v in at], np.int64) for near in inside.column("near").to_pylist()]
             middle = x.mean(axis=0)
             start = int((x @ middle).argmax())
-            asks = table.filter(table.column("asks"))
+            asks = table.filter(pa.array(~node))
             seen = Forest()
             for r, q in zip(asks.column("rep").to_pylist(), unit(asks.column("key").to_pylist()) if asks.num_rows else []):
                 hits = range_search(x, links, start, q)
@@ -231,7 +262,7 @@ def graph_links(reps: DataFrame) -> DataFrame:
                         found.append((r, v))
         return pa.table({"u": pa.array([e[0] for e in found], pa.int64()), "v": pa.array([e[1] for e in found], pa.int64())})
 
-    return nodes.union(asking).groupBy("shard", "part").applyInArrow(search, "u long, v long")
+    return nodes.union(asking).groupBy("shard", "part", "block").applyInArrow(search, "u long, v long")
 
 
 def exact_links(classes: DataFrame) -> DataFrame:
@@ -305,5 +336,39 @@ def vector_components(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def audit_recall(rows: DataFrame, sample: int = 200, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[int, int]:
+    """(found, true): pairs at cosine >= THRESHOLD of sampled queries with all rows, and those that share a component.
+
+    The queries are the ``sample`` usable rows whose ids hash lowest; ids must be distinct.
+    """
+    vectors = cut(_vectors(rows, id_col, vector_col, label_col).where("key is not null"), "audit-vectors")
+    picked = vectors.orderBy(F.xxhash64("id")).limit(sample).collect()
+    queries: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+    for at in {(r["label"], len(r["key"])) for r in picked}:
+        own = [r for r in picked if (r["label"], len(r["key"])) == at]
+        queries[at] = np.array([r["id"] for r in own]), unit([bytes(r["key"]) for r in own])
+    held = rows.sparkSession.sparkContext.broadcast(queries)
+
+    def task(batches):
+        for b in batches:
+            ids, labels, keys = (b.column(i).to_pylist() for i in range(3))
+            us, vs = [], []
+            for at, (own, q) in held.value.items():
+                mine = [i for i in range(len(ids)) if (labels[i], len(keys[i])) == at]
+                if mine:
+                    i, j = np.nonzero(unit([keys[k] for k in mine]) @ q.T >= THRESHOLD)
+                    pairs = [(ids[mine[x]], int(own[y])) for x, y in zip(i.tolist(), j.tolist()) if ids[mine[x]] != own[y]]
+                    us += [p[0] for p in pairs]
+                    vs += [p[1] for p in pairs]
+            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    true = vectors.select("id", "label", "key").mapInArrow(task, "u long, v long")
+    of = cut(vector_components(rows, id_col, vector_col, label_col).select("vec_id", "component_id"), "audit-components")
+    a, b = (of.select(F.col("vec_id").alias(f"__{x}"), F.col("component_id").alias(f"__root_{x}")) for x in "uv")
+    both = true.join(a, F.col("u") == F.col("__u")).join(b, F.col("v") == F.col("__v"))
+    found, total = both.agg(F.count_if(F.col("__root_u") == F.col("__root_v")), F.count("*")).first()
+    return found, total
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
