@@ -15,6 +15,8 @@ from barloom.runtime import cut
 THRESHOLD = 0.98
 #: Distinct vectors that a shard should hold, and the most before it is split by a hash of the id.
 SHARD, SHARD_MOST = 2000, 4000
+#: Askers that a search group should hold, at most.
+ASK_MOST = 4000
 #: Shards that each vector joins.
 OVERLAP = 2
 #: Vectors that cluster centres are fitted on, at most.
@@ -213,7 +215,7 @@ def _members(reps: DataFrame) -> DataFrame:
     dealt = cut(reps.select("label", "rep", "key").mapInArrow(task, "shard string, rep long, key binary, node boolean, asks boolean"), "vectors-dealt")
     sizes = dealt.groupBy(F.col("shard").alias("__shard")).agg(
         F.greatest(F.lit(1), F.ceil(F.count_if("node") / SHARD_MOST)).cast("int").alias("parts"),
-        F.max(F.lit(1)).alias("blocks"),
+        F.greatest(F.lit(1), F.ceil(F.count_if("asks") / ASK_MOST)).cast("int").alias("blocks"),
     )
     split = dealt.join(sizes, F.col("shard") == F.col("__shard")).drop("__shard")
     return cut(split.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int")), "vectors-members")

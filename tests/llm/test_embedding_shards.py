@@ -1,8 +1,9 @@
-"""op7 over many shards: recall against all rows."""
+"""op7 over many shards: recall against all rows, and the size of each search group."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from barloom.llm import embedding_dedup
 
@@ -24,3 +25,19 @@ def test_recall_across_shards(spark, monkeypatch):
     frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(4)
     found, true = embedding_dedup.audit_recall(frame, sample=2000)
     assert true == 2000 and found == true
+
+
+def test_search_groups_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 500)
+    monkeypatch.setattr(embedding_dedup, "SHARD_MOST", 50)
+    monkeypatch.setattr(embedding_dedup, "ASK_MOST", 50)
+    rng = np.random.default_rng(10)
+    base = rng.normal(size=32)
+    rows = [(i, (base + rng.normal(scale=0.02, size=32)).astype(np.float32).tobytes()) for i in range(400)]
+    reps = spark.createDataFrame([("a", i, bytearray(k)) for i, k in rows], "label string, rep long, key binary").repartition(3)
+    members = embedding_dedup._members(reps)
+    asked = members.where("asks").groupBy("shard", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks").cast("long"))).count()
+    assert members.where("node").select("rep").distinct().count() == 400
+    assert asked.agg(F.max("count")).first()[0] < 100
+    links = embedding_dedup.graph_links(reps)
+    assert links.select("u").union(links.select("v")).distinct().count() == 400
