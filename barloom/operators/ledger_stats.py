@@ -95,7 +95,8 @@ SQL["benjamini_hochberg"] = """
 WITH t AS (SELECT run_id, regime, side, least(1E0, greatest(1E-9, exp(-abs(avg(net_r)) / nullif(stddev_samp(net_r), 0) * sqrt(count(*))))) AS p FROM {ledger} GROUP BY run_id, regime, side),
 r AS (SELECT *, row_number() OVER (ORDER BY p, run_id, regime, side) AS k, count(*) OVER () AS m FROM t)
 SELECT run_id, regime, side, round(p, 9) AS p, round(least(1E0, min(p * m / k) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 9) AS q FROM r"""
-SQL["mc_export"] = "SELECT run_id, trade_key, line, part_key, supp_key, side, entry_day, exit_day, net_r, net_r AS net_R_alias, notional_u, net_u FROM {ledger} WHERE net_r IS NOT NULL AND exit_reason = 'F'"
+SQL["mc_export"] = "SELECT run_id, trade_key, line, part_key, supp_key, side, entry_day, exit_day, net_r, net_r AS net_R_alias, notional_u, net_u FROM {ledger} WHERE net_r IS NOT NULL"
+SQL["mc_export_counts"] = "SELECT run_id, count(net_r) AS exported, count(*) FILTER (WHERE net_r IS NULL) AS skipped FROM {ledger} GROUP BY run_id"
 SQL["mc_summary"] = """
 WITH o AS (SELECT run_id, net_r, row_number() OVER (PARTITION BY run_id ORDER BY net_r) - 1 AS k, count(*) OVER (PARTITION BY run_id) AS n FROM {ledger})
 SELECT run_id, max(n) AS n, round(avg(net_r), 6) AS mean, round(max(CASE WHEN k = floor(n / 2) THEN net_r END), 9) AS upper_median, round(min(net_r), 9) AS least, round(max(net_r), 9) AS most FROM o GROUP BY run_id"""

@@ -103,7 +103,7 @@ WHERE k >= 4 AND mad > 0 AND 0.6745 * abs(ret - med) / mad > 2.5"""
 
 SQL["usable_bars"] = """
 SELECT symbol, open_ms, o, h, l, c FROM {bars_5m}
-WHERE v > 0 AND tc > 1 AND h >= greatest(o, c) AND l <= least(o, c) AND o > 0 AND open_ms % 300000 = 0"""
+WHERE v > 0 AND tc > 0 AND h >= greatest(o, c) AND l <= least(o, c) AND o > 0 AND open_ms % 300000 = 0"""
 
 SQL["quality_scan"] = """
 SELECT symbol, count(*) AS bars, count(*) FILTER (WHERE open_ms % 300000 <> 0) AS off_grid, count(*) FILTER (WHERE v = 0) AS zero_volume,
