@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.textstats import TextStats, held_out, training_rows
+from barloom.runtime import cut
 
 FEATURES = 256
 SEED = 8
-#: Labelled rows of each class that the ridge is fitted on, at most, and tasks that sum its equations.
+#: Labelled ids of each class that the ridge is fitted on, at most, and tasks that sum its equations.
 PER_CLASS, TASKS = 20_000, 16
 RIDGE = 1e-3
 PREDICT_AT = 0.7
@@ -36,11 +37,10 @@ def document_statistics(s: TextStats) -> np.ndarray:
 N_STATS = 16
 
 
-def pava(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic fit by pooling adjacent violators: (knots, values), to be interpolated."""
-    order = np.argsort(x, kind="stable")
+def pava(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[tuple[float, float, float]]:
+    """Isotonic steps by pooling adjacent violators: (lowest x, highest x, mean y) in order; equal x share a step."""
     blocks: list[list[float]] = []  # mean, weight, lowest x, highest x
-    for i in order:
+    for i in np.argsort(x, kind="stable"):
         blocks.append([float(y[i]), float(w[i]), float(x[i]), float(x[i])])
         while len(blocks) > 1 and (blocks[-2][0] >= blocks[-1][0] or blocks[-2][3] == blocks[-1][2]):
             m, n, _, hi = blocks.pop()
@@ -48,11 +48,26 @@ def pava(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.nd
             last[0] = (last[0] * last[1] + m * n) / (last[1] + n)
             last[1] += n
             last[3] = hi
+    return [(lo, hi, mean) for mean, _, lo, hi in blocks]
+
+
+def ranked_steps(steps: list[tuple[float, float, float]], rows: int, slope: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """(knots, values), to be interpolated: the steps, each inclined a little so that no two scores in it tie.
+
+    A step rises by at most ``slope`` to either side of its mean and stays clear of
+    its neighbours. Means keep 1 / (2 rows + 2) from 0 and 1, which are reached as
+    far outside the fitted scores as those are wide.
+    """
+    edge = 1 / (2 * rows + 2)
+    means = np.clip([s[2] for s in steps], edge, 1 - edge)
     knots, values = [], []
-    for mean, _, lo, hi in blocks:
+    for k, (lo, hi, _) in enumerate(steps):
+        m = float(means[k])
+        room = min(slope, m / 2, (1 - m) / 2, *(abs(float(means[j]) - m) / 3 for j in (k - 1, k + 1) if 0 <= j < len(steps)))
         knots += [lo, hi] if hi > lo else [lo]
-        values += [mean, mean] if hi > lo else [mean]
-    return np.array(knots), np.array(values)
+        values += [m - room, m + room] if hi > lo else [m]
+    wide = max(knots[-1] - knots[0], 1e-6)
+    return np.array([knots[0] - wide, *knots, knots[-1] + wide]), np.array([0.0, *values, 1.0])
 
 
 class FourierRidge:
@@ -84,7 +99,7 @@ def _stats(column) -> np.ndarray:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> FourierRidge:
-    """Fit on at most ``per_class`` labelled rows of each class, none of them held out.
+    """Fit on at most ``per_class`` labelled ids of each class, none of them held out.
 
     The statistics of those rows are written once. Tasks sum the moments, then the
     normal equations, of their share; at most TASKS matrices come to the driver.
@@ -93,8 +108,6 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     and the weights are then solved on all. Without both classes every score is
     the one class's (1 without labels).
     """
-    from barloom.runtime import cut
-
     rows, sizes = training_rows(docs, labels, per_class)
 
     def measure(batches):
@@ -147,7 +160,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     y = scored["quality"].to_numpy().astype(float)
     true = np.where(y == 1, sizes[1] / got[1], sizes[0] / got[0])
     model.weights = solve(gram.sum(0), rhs.sum(0))
-    model.knots, model.values = pava(scored["z"].to_numpy(), y, true)
+    model.knots, model.values = ranked_steps(pava(scored["z"].to_numpy(), y, true), len(y))
     return model
 
 

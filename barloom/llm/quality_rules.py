@@ -8,61 +8,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.textstats import TextStats, training_rows
+from barloom.runtime import cut
 
-BUCKETS = 1 << 16
-#: Labelled rows of each class that the regression is fitted on, at most.
-PER_CLASS = 1500
+BUCKETS = 1 << 15
+#: Labelled ids of each class that the regression is fitted on, at most. A row has 6 bytes for each of its buckets.
+PER_CLASS = 1000
 KEEP_AT = 0.5
 MIN_WORDS = 50
-ROUNDS = 120
+#: Steps of the fit, and rows that a step takes at once.
+STEPS, CHUNK = 100, 128
+#: Code points of a character gram, and a multiplier for each.
+_GRAM = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
 
 
 def ngram_buckets(s: TextStats) -> list[np.ndarray]:
-    """Buckets of the words, word pairs and 4-byte grams of a text (ASCII letters keep their case)."""
+    """Buckets of the words, word pairs and 4-character grams (code points, case kept) of a text."""
     h = s.hashes.astype(np.uint64)
     mix = np.uint64(0x9E3779B97F4A7C15)
-    words = (h * mix) >> np.uint64(48)
-    pairs = ((h[:-1] * np.uint64(31) + h[1:] + np.uint64(7)) * mix) >> np.uint64(48)
-    b = s.bytes.astype(np.uint32)
-    grams = b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24 if len(b) > 3 else b[:0]
-    grams = (grams * np.uint32(0x85EBCA6B)) >> np.uint32(16)
+    words = (h * mix) >> np.uint64(49)
+    pairs = ((h[:-1] * np.uint64(31) + h[1:] + np.uint64(7)) * mix) >> np.uint64(49)
+    c = s.code_points()
+    n = max(0, len(c) - len(_GRAM) + 1)
+    grams = np.zeros(n, np.uint32)
+    for k, m in enumerate(_GRAM):
+        grams += c[k : k + n] * m
+    grams = ((grams ^ (grams >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(17)
     return [words, pairs, grams]
 
 
 def _sparse(s: TextStats) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and their shares of each kind of gram, summed over the kinds."""
-    idx, val = [], []
+    """Buckets and the sum of their shares of each kind of gram."""
+    total = np.zeros(BUCKETS)
     for g in ngram_buckets(s):
         if len(g):
-            k, n = np.unique(g, return_counts=True)
-            idx.append(k.astype(np.int32))
-            val.append((n / len(g)).astype(np.float32))
-    return (np.concatenate(idx), np.concatenate(val)) if idx else (np.zeros(0, np.int32), np.zeros(0, np.float32))
+            total += np.bincount(g.astype(np.int64), minlength=BUCKETS) / len(g)
+    idx = np.nonzero(total)[0]
+    return idx.astype(np.uint16), total[idx].astype(np.float32)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS, decay: float = 1e-7) -> tuple[np.ndarray, float]:
-    """Weights by bucket and a bias, by full-batch gradients with per-weight steps (Adam)."""
-    idx = np.concatenate([r[0] for r in rows])
-    val = np.concatenate([r[1] for r in rows]).astype(np.float64)
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    w, bias = np.zeros(BUCKETS), 0.0
-    m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
+def fit_logistic(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, steps: int = STEPS, decay: float = 1e-7) -> np.ndarray:
+    """Weights by bucket and, last, a bias: full-batch gradients with a step size for each weight (Adam)."""
+    chunks = []
+    for a in range(0, len(rows), CHUNK):
+        part = rows[a : a + CHUNK]
+        chunks.append((a, len(part), np.concatenate([r[0] for r in part]), np.concatenate([r[1] for r in part]), np.repeat(np.arange(len(part)), [len(r[0]) for r in part])))
+    w, m, v = (np.zeros(BUCKETS + 1) for _ in range(3))
+    rate = np.full(BUCKETS + 1, 1.0)
+    rate[-1] = 0.1
     weight = weight / weight.sum()
-    for t in range(1, rounds + 1):
-        z = np.bincount(row, w[idx] * val, len(rows)) + bias
-        miss = (_sigmoid(z) - y) * weight
-        g = np.bincount(idx, miss[row] * val, BUCKETS) + decay * w
-        gb = miss.sum()
+    for t in range(1, steps + 1):
+        g = decay * w
+        for a, n, idx, val, row in chunks:
+            z = np.bincount(row, w[idx] * val, n) + w[-1]
+            miss = (_sigmoid(z) - y[a : a + n]) * weight[a : a + n]
+            g += np.bincount(idx, miss[row] * val, BUCKETS + 1)
+            g[-1] += miss.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        c1, c2 = 1 - 0.9**t, 1 - 0.99**t
-        w -= 1.0 * (m / c1) / (np.sqrt(v / c2) + 1e-9)
-        bias -= 0.1 * (mb / c1) / (np.sqrt(vb / c2) + 1e-9)
-    return w, float(bias)
+        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+    return w
 
 
 def fit_platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -101,14 +108,16 @@ class QualityModel:
 
 
 def fit_quality_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
-    """Fit on at most ``per_class`` labelled rows of each class, none of them held out.
+    """Fit on at most ``per_class`` labelled ids of each class, none of them held out.
 
-    Two halves score each other for the calibration, weighted to the classes' true
-    sizes; the weights are then fitted on all. Without rows of both classes the
-    model gives every text the one class's probability (1 without labels).
+    The rows' grams are written once. Three tasks fit: two on the ids of one half
+    each, which they then score the other half by, for the calibration, and one on
+    all. What reaches the driver is their weights and 2 * per_class scores. The
+    calibration is weighted to the classes' true sizes. Without rows of both classes
+    the model gives every text the one class's probability (1 without labels).
     """
 
-    def task(batches):
+    def grams(batches):
         for b in batches:
             rows = [_sparse(TextStats(t.as_py())) for t in b.column(1)]
             yield pa.record_batch(
@@ -117,25 +126,34 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_C
             )
 
     rows, sizes = training_rows(docs, labels, per_class)
-    rows = rows.select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int")).mapInArrow(task, "doc_id long, quality int, idx binary, val binary")
-    # 2 * per_class rows at most (more only if documents repeat a labelled id).
-    found = sorted(rows.collect(), key=lambda r: (r["doc_id"], bytes(r["idx"])))
-    x = [(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32)) for r in found]
-    y = np.array([r["quality"] for r in found], float)
-    if len(set(y.tolist())) < 2:
-        return QualityModel(np.zeros(BUCKETS), 0.0, 0.0, -30.0 if len(y) and y[0] == 0 else 30.0)
-    even = np.where(y == 1, 1 / (y == 1).sum(), 1 / (y == 0).sum())
-    half = np.arange(len(y)) % 2 == 0
-    z = np.zeros(len(y))
-    if all(len(set(y[side].tolist())) == 2 for side in (half, ~half)):
-        for fit in (half, ~half):
-            w, bias = fit_logistic([r for r, k in zip(x, fit) if k], y[fit], even[fit])
-            z[~fit] = [bias + float((w[i] * v).sum()) for (i, v), k in zip(x, fit) if not k]
-    w, bias = fit_logistic(x, y, even)
-    if not z.any():
-        z = np.array([bias + float((w[i] * v).sum()) for i, v in x])
+    rows = rows.select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int")).mapInArrow(grams, "doc_id long, quality int, idx binary, val binary")
+    data = cut(rows, "quality-grams")
+    count = {r["quality"]: r["count"] for r in data.groupBy("quality").count().collect()}
+    if len(count) < 2:
+        return QualityModel(np.zeros(BUCKETS), 0.0, 0.0, -30.0 if 0 in count else 30.0)
+
+    def fit(table: pa.Table) -> pa.Table:
+        k = table.column("k")[0].as_py()
+        table = table.sort_by("doc_id")
+        ids, y = table.column("doc_id").to_numpy(), table.column("quality").to_numpy().astype(float)
+        x = [(np.frombuffer(i.as_buffer(), np.uint16), np.frombuffer(v.as_buffer(), np.float32)) for i, v in zip(table.column("idx"), table.column("val"))]
+        weight = np.where(y == 1, 1 / count[1], 1 / count[0])
+        own = np.nonzero(ids % 2 == k)[0] if k < 2 else np.arange(len(ids))
+        other = np.nonzero(ids % 2 != k)[0] if k < 2 else own[:0]
+        if k < 2 and len(set(y[own])) < 2:  # a half of one class: no scores of it
+            own, other = own[:1], other[:0]
+        w = fit_logistic([x[i] for i in own], y[own], weight[own])
+        z = [float(w[-1] + (w[x[i][0]] * x[i][1]).sum()) for i in other]
+        return pa.table({"k": pa.array([k], pa.int64()), "w": pa.array([w.tobytes()], pa.binary()), "z": pa.array([z], pa.list_(pa.float64())), "y": pa.array([y[other].tolist()], pa.list_(pa.float64()))})
+
+    every = data.withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])))
+    fits = {r["k"]: r for r in every.groupBy("k").applyInArrow(fit, "k long, w binary, z array<double>, y array<double>").collect()}
+    w = np.frombuffer(fits[2]["w"])
+    z, y = (np.array(fits[0][c] + fits[1][c]) for c in "zy")
+    if len(set(y)) < 2:
+        return QualityModel(w[:-1], float(w[-1]), 1.0, 0.0)
     true = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())
-    return QualityModel(w, bias, *fit_platt(z, y, true))
+    return QualityModel(w[:-1], float(w[-1]), *fit_platt(z, y, true))
 
 
 def judge(docs: DataFrame, model: QualityModel, keep_at: float = KEEP_AT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -57,10 +57,10 @@ class TextStats:
     found twice or more in the text.
     """
 
-    __slots__ = ("bytes", "counts", "hashes", "lines", "n_dup_lines", "n_repeat_words", "n_symbols", "n_words", "numbers", "word_chars")
+    __slots__ = ("bytes", "counts", "hashes", "lines", "n_dup_lines", "n_repeat_words", "n_symbols", "n_words", "numbers", "text", "word_chars")
 
     def __init__(self, text: str | None) -> None:
-        text = text or ""
+        self.text = text = text or ""
         words = WORD.findall(text)
         self.bytes = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
         self.counts = c = np.bincount(self.bytes, minlength=256)
@@ -73,6 +73,11 @@ class TextStats:
         self.numbers, self.hashes = _numbered(words)
         self.n_repeat_words = self._repeated()
 
+    def code_points(self) -> np.ndarray:
+        if len(self.bytes) == len(self.text):
+            return self.bytes.astype(np.uint32)
+        return np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
     def _repeated(self) -> int:
         n = self.numbers
         if len(n) < 4:
@@ -96,11 +101,12 @@ def held_out(id_col: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(text, quality) of at most ``per_class`` labelled rows of each class, and the classes' whole sizes.
+    """(doc_id, text, quality) of at most ``per_class`` labelled ids of each class, and the classes' whole sizes.
 
-    Rows are taken in order of a hash of the id, never held-out ones; an id
-    labelled twice counts once, as its lower quality. The label side that is joined
-    has 2 * per_class rows at most.
+    Ids are taken in order of a hash, never held-out ones; an id labelled twice
+    counts once, as its lower quality, and so does one that several documents have,
+    with the least of their texts. So 2 * per_class rows come out at most, as many
+    as the label side that is broadcast.
     """
     known = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
@@ -109,4 +115,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[D
     sizes = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     taken = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     rows = taken[0].union(taken[1]).select(F.col("doc_id").alias("__id"), "quality")
-    return docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "quality"), sizes
+    known_docs = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("__id"))
+    return known_docs.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality"), sizes
