@@ -3,8 +3,9 @@
 Whole windows of a long document stand alone. What remains of each document is
 rounded up to a bin; combinations of a few bins that fill a window are
 enumerated, their repeat counts are solved against the histogram of bins by
-non-negative least squares and rounded, and what the counts leave is packed
-greedily, cut where a window ends.
+non-negative least squares and rounded. What the counts leave is packed greedily:
+window after window takes the largest bins left that fit, as often as they fit.
+Both work on the histogram, whose size does not depend on the documents.
 """
 
 from __future__ import annotations
@@ -19,38 +20,50 @@ from barloom.llm.tokens import encoder, public_vocabulary
 from barloom.runtime import cut, prefix_sums
 
 WINDOW = 4096
-BIN = 32
+BIN = 16
 DEPTH = 3
 END_ID = 2
 
 
 def combinations_filling(bins: int, depth: int) -> np.ndarray:
-    """All multisets of at most ``depth`` bin sizes that add up to ``bins``, as counts by size (row 0 is size 1)."""
-    found: list[tuple[int, ...]] = []
+    """Combinations of bin sizes that add up to ``bins``, as counts by size (row 0 is size 1).
+
+    All multisets of at most ``depth`` sizes, and every mix of any number of pieces
+    of at most two sizes, which short documents need.
+    """
+    found: set[tuple[tuple[int, int], ...]] = {((bins, 1),)}
+    for a in range(1, bins // 2 + 1):
+        for j in range(1, bins // a + 1):
+            left = bins - j * a
+            if left == 0:
+                found.add(((a, j),))
+            else:
+                found.update(((a, j), (b, left // b)) for b in range(a + 1, left + 1) if left % b == 0)
 
     def extend(left: int, least: int, taken: tuple[int, ...]) -> None:
         if left >= least:
-            found.append((*taken, left))
+            sizes = (*taken, left)
+            found.add(tuple((s, sizes.count(s)) for s in sorted(set(sizes))))
         if len(taken) + 1 < depth:
             for size in range(least, left // 2 + 1):
                 extend(left - size, size, (*taken, size))
 
     extend(bins, 1, ())
-    out = np.zeros((bins, len(found)))
-    for j, sizes in enumerate(found):
-        for s in sizes:
-            out[s - 1, j] += 1
+    out = np.zeros((bins, len(found)), np.float32)
+    for j, sizes in enumerate(sorted(found)):
+        for s, n in sizes:
+            out[s - 1, j] = n
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
-    """x >= 0 that minimizes |a x - b|, by active sets on the normal equations."""
-    gram, rhs = a.T @ a, a.T @ b
+def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-7) -> np.ndarray:
+    """x >= 0 that minimizes |a x - b|, by active sets."""
     n = a.shape[1]
     x, free = np.zeros(n), np.zeros(n, bool)
-    scale = max(1.0, float(np.abs(rhs).max(initial=0)))
+    scale = max(1.0, float(np.abs(a.T @ b).max(initial=0)))
     for _ in range(6 * a.shape[0]):
-        slope = rhs - gram @ x
+        at = np.nonzero(free)[0]
+        slope = a.T @ (b - a[:, at] @ x[at])
         slope[free] = -np.inf
         j = int(slope.argmax())
         if slope[j] <= tolerance * scale:
@@ -58,7 +71,7 @@ def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
         free[j] = True
         while True:
             at = np.nonzero(free)[0]
-            y = np.linalg.lstsq(gram[np.ix_(at, at)], rhs[at], rcond=None)[0]
+            y = np.linalg.lstsq(a[:, at].astype(float), b, rcond=None)[0]
             if (y > 0).all():
                 x[:] = 0
                 x[at] = y
@@ -73,35 +86,61 @@ def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
     return x
 
 
-def plan_slots(histogram: dict[int, int], window: int, bin_size: int, depth: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Rows (bin, lo, hi, first sequence, slot) and the number of sequences planned.
-
-    The documents of a bin with rank lo..hi-1 go to consecutive sequences from
-    the first, as their slot-th piece. Solved counts are rounded, and no count
-    takes more documents than a bin has left. Rows: at most ``depth`` for each
-    combination with a count, of which there are no more than bins.
+def greedy_patterns(left: np.ndarray):
+    """(counts by size, repeats) of windows that take the largest sizes left that fit; uses up ``left``."""
+    bins = len(left)
+    while left.any():
+        room, pattern = bins, np.zeros(bins, np.int64)
+        for s in range(bins, 0, -1):
+            if left[s - 1] and s <= room:
+                pattern[s - 1] = min(int(left[s - 1]), room // s)
+                room -= s * int(pattern[s - 1])
+        at = pattern > 0
+        repeat = int((left[at] // pattern[at]).min())
+        left -= repeat * pattern
+        yield pattern, repeat
+
+
+def plan_slots(histogram: dict[int, int], window: int, bin_size: int, depth: int) -> tuple[list[tuple[int, int, int, int, int, int]], int, int]:
+    """Rows (bin, lo, hi, first sequence, first slot, each), the sequences planned, and the documents that the least squares place.
+
+    The documents of a bin with rank lo..hi-1 go to consecutive sequences from the
+    first, ``each`` of them to one, at consecutive slots from the first slot. Solved
+    counts are rounded, and no count takes more documents than a bin has left; the
+    rest goes by greedy patterns, of which each uses up a bin or more.
     """
     bins = window // bin_size
     have = np.zeros(bins, np.int64)
     for b, n in histogram.items():
         have[b - 1] = n
-    combos = combinations_filling(bins, depth)
-    solved = nnls(combos, have.astype(float))
     used = np.zeros(bins, np.int64)
     rows, sequences = [], 0
-    for j in np.argsort(-solved, kind="stable"):
-        sizes = np.nonzero(combos[:, j])[0]
-        repeat = min(int(round(solved[j])), *(int((have[s] - used[s]) // combos[s, j]) for s in sizes))
-        if repeat < 1:
-            continue
+
+    def take(pattern: np.ndarray, repeat: int) -> None:
+        nonlocal sequences
         slot = 0
-        for s in sizes:
-            for _ in range(int(combos[s, j])):
-                rows.append((int(s) + 1, int(used[s]), int(used[s]) + repeat, sequences, slot))
-                used[s] += repeat
-                slot += 1
+        for s in np.nonzero(pattern)[0]:
+            each = int(pattern[s])
+            rows.append((int(s) + 1, int(used[s]), int(used[s]) + each * repeat, sequences, slot, each))
+            used[s] += each * repeat
+            slot += each
         sequences += repeat
-    return rows, sequences
+
+    if have.any():
+        combos = combinations_filling(bins, depth)
+        # Combinations of sizes that no document has fill nothing.
+        combos = combos[:, (combos[have == 0] == 0).all(axis=0)]
+        solved = nnls(combos, have.astype(float)) if combos.shape[1] else np.zeros(0)
+        for j in np.argsort(-solved, kind="stable"):
+            pattern = combos[:, j].astype(np.int64)
+            at = pattern > 0
+            repeat = min(round(float(solved[j])), int(((have - used)[at] // pattern[at]).min()))
+            if repeat > 0:
+                take(pattern, repeat)
+    solved_documents = int(used.sum())
+    for pattern, repeat in greedy_patterns(have - used):
+        take(pattern, repeat)
+    return rows, sequences, solved_documents
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,39 +181,27 @@ def place(lengths: DataFrame, window: int = WINDOW, bin_size: int = BIN, depth:
     lengths = lengths.select("row", "n", rest.alias("rest"), F.ceil(rest / bin_size).cast("int").alias("bin"), F.floor(F.col("n") / window).cast("long").alias("full"))
     remainders = lengths.where("rest > 0")
     histogram = {r["bin"]: r["count"] for r in remainders.groupBy("bin").count().collect()}
-    slots, planned = plan_slots(histogram, window, bin_size, depth)
+    slots, planned, _ = plan_slots(histogram, window, bin_size, depth)
 
     ranked = prefix_sums(remainders.select("row", "n", "rest", "bin"), ["row"], {"rank": F.lit(1).cast("long")}, keys=["bin"], tag="pack-rank")
-    ranges = spark.createDataFrame(slots, "slot_bin int, lo long, hi long, first long, slot int")
-    # At most depth * window / bin_size rows.
-    ranked = cut(
-        ranked.join(F.broadcast(ranges), (F.col("bin") == F.col("slot_bin")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left")
-        .select("row", "n", "rest", "slot", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id")),
+    # A few rows for each combination or pattern that is used, of which there are about as many as bins.
+    ranges = spark.createDataFrame(slots, "slot_bin int, lo long, hi long, first long, slot int, each int")
+    at = F.col("rank") - F.col("lo")
+    seated = cut(
+        ranked.join(F.broadcast(ranges), (F.col("bin") == F.col("slot_bin")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+        .select("row", "n", "rest", (F.col("first") + F.floor(at / F.col("each"))).alias("sequence_id"), (F.col("slot") + at % F.col("each")).alias("slot")),
         "pack-slots",
     )
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    in_plan = ranked.where("sequence_id is not null").select(
+    in_plan = seated.select(
         "row", (F.col("n") - F.col("rest")).alias("start"), F.col("rest").alias("length"), "sequence_id", F.coalesce(F.sum("rest").over(before), F.lit(0)).alias("offset")
     )
-
-    left = prefix_sums(ranked.where("sequence_id is null").select("row", "n", "rest"), ["row"], {"at": F.col("rest")}, tag="pack-left")
-    left = cut(left, "pack-residual")
-    residual = left.agg(F.sum("rest")).first()[0] or 0
-    first_left = planned
-    cuts = left.withColumn("w", F.explode(F.sequence(F.floor(F.col("at") / window), F.floor((F.col("at") + F.col("rest") - 1) / window))))
-    lo, hi = F.greatest(F.col("at"), F.col("w") * window), F.least(F.col("at") + F.col("rest"), (F.col("w") + 1) * window)
-    greedy = cuts.select(
-        "row", (F.col("n") - F.col("rest") + lo - F.col("at")).alias("start"), (hi - lo).alias("length"),
-        (F.col("w") + first_left).cast("long").alias("sequence_id"), (lo - F.col("w") * window).alias("offset"),
-    )
-
-    first_full = planned + -(-residual // window)
     full = prefix_sums(lengths.where("full > 0").select("row", "full"), ["row"], {"at": F.col("full")}, tag="pack-full")
     whole = full.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1))).select(
         "row", (F.col("k") * window).alias("start"), F.lit(window).cast("long").alias("length"),
-        (F.col("at") + F.col("k") + first_full).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
+        (F.col("at") + F.col("k") + planned).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
     )
-    return in_plan.union(greedy).union(whole)
+    return in_plan.union(whole)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
