@@ -8,117 +8,135 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.license_texts import TEMPLATES
 from barloom.runtime import cut
 
 #: Phrases whose words stand consecutively.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-
-#: Notices as license authors give them; a block holds one if it has enough of its words.
-TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3"),
-    ("lgpl-3", "licensed under the gnu lesser general public license version 3"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("all-rights-reserved", "all rights reserved"),
-]
 THRESHOLD = 0.92
+#: A template's blocks begin every STEP words, the least of these that holds it, and are two steps long.
+STEPS = [8, 16, 32, 64, 128, 256, 512]
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: What parts words, but for the line feed.
-_BREAKS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words.
+_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The one character but A-Z whose lower case is an ASCII letter, and one that stays apart from it.
+_KELVIN, _OTHER = "\u212a", "\u0137"
 
 
-def _lines(text: str) -> Column:
-    """The text in lower case (A-Z), each run of characters that part words a space, lines kept."""
-    lower = F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _UPPER.lower())
-    return F.regexp_replace(lower, _BREAKS, " ")
+def step_of(words: int) -> int:
+    """Words from one block of a template to the next: any stretch as long as the template lies in one block."""
+    return next((s for s in STEPS if s >= words), words)
 
 
-def _wrapped(lines: Column) -> Column:
-    """Words with a space on either side of each, so that neighbours share no space; '' without words."""
-    one = F.regexp_replace(F.concat(F.lit(" "), lines, F.lit(" ")), "[ \\n]+", "  ")
-    return F.when(F.length(one) > 2, F.substring(one, F.lit(2), F.length(one) - 2)).otherwise(F.lit(""))
+def _spaced(text: str) -> Column:
+    """The words in lower case with one space on either side; a single space without words."""
+    lower = F.lower(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(_KELVIN), F.lit(_OTHER)))
+    return F.regexp_replace(F.concat(F.lit(" "), lower, F.lit(" ")), _BREAKS, " ")
 
 
-def _count(wrapped: Column) -> Column:
-    return F.when(wrapped == "", F.lit(0)).otherwise(F.length(wrapped) - F.length(F.replace(wrapped, F.lit("  "), F.lit(" "))) + 1).cast("long")
+def _count(spaced: Column) -> Column:
+    """Words of a stretch that begins and ends with a space, whatever the spaces between them."""
+    one = F.replace(spaced, F.lit("  "), F.lit(" "))
+    return (F.length(one) - F.length(F.replace(one, F.lit(" "), F.lit(""))) - 1).cast("long")
 
 
-def phrase_places(docs: DataFrame, phrases: dict[str, str] = PHRASES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_base, first_word, last_word, base): where the phrases' words stand consecutively."""
-    spaced = {p: " " + "  ".join(p.split()) + " " for p in phrases}
-    words = docs.select(F.col(id_col).alias("id"), _wrapped(_lines(text_col)).alias("w"))
-    words = words.withColumn("n_words", _count(F.col("w")))
+def _places(w: Column, n_words: Column, phrases: dict[str, str]) -> list[Column]:
+    """n_base, first_word, last_word and base of a spaced text."""
     firsts, lasts, counts, labels = [], [], [], []
-    for p, s in spaced.items():
-        w, size = F.col("w"), len(p.split())
-        n = ((F.length(w) - F.length(F.replace(w, F.lit(s), F.lit("")))) / len(s)).cast("long")
-        there = F.contains(w, F.lit(s))
-        counts.append(F.when(there, n).otherwise(F.lit(0)))
-        firsts.append(F.when(there, _count(F.substring_index(w, s, 1))))
-        lasts.append(F.when(there, F.col("n_words") - size - _count(F.substring_index(w, s, -1))))
-        labels.append(F.when(there, F.lit(phrases[p])))
-    least = F.array_min(F.array(*firsts))
-    return words.select(
-        "id", "n_words", sum(counts[1:], counts[0]).cast("long").alias("n_base"),
-        least.cast("long").alias("first_word"), F.array_max(F.array(*lasts)).cast("long").alias("last_word"),
-        F.array_distinct(F.array_compact(F.array(*labels))).alias("base"),
-    )
-
-
-def template_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line, label, containment): every line that holds at least ``threshold`` of a template's distinct words.
-
-    Exact: the words are ordered by their number of lines in the whole corpus,
-    rarest first. A template that a block holds to the threshold t has one of its
-    first |T| - ceil(t |T|) + 1 words in the block, so only those are joined; a
-    block with too few of the words, or a match too late in either order to leave
-    enough, is dropped; the rest are counted. The join's small side has a few rows
+    # Two spaces between words, so that neighbours share none.
+    wide = F.replace(w, F.lit(" "), F.lit("  "))
+    for p, label in phrases.items():
+        there = F.contains(w, F.lit(f" {p} "))
+        s = " " + p.replace(" ", "  ") + " "
+        counts.append(F.when(there, ((F.length(wide) - F.length(F.replace(wide, F.lit(s), F.lit("")))) / len(s)).cast("long")).otherwise(F.lit(0)))
+        firsts.append(F.when(there, _count(F.substring_index(wide, s, 1))))
+        lasts.append(F.when(there, n_words - len(p.split()) - _count(F.substring_index(wide, s, -1))))
+        labels.append(F.when(there, F.lit(label)))
+    return [
+        sum(counts[1:], counts[0]).cast("long").alias("n_base"), F.array_min(F.array(*firsts)).cast("long").alias("first_word"),
+        F.array_max(F.array(*lasts)).cast("long").alias("last_word"), F.array_distinct(F.array_compact(F.array(*labels))).alias("base"),
+    ]
+
+
+def _sets(templates: list[tuple[str, str]], threshold: float) -> list[tuple[int, str, int, list[str], int]]:
+    """(template, label, step, distinct words, words needed)."""
+    out = []
+    for i, (label, text) in enumerate(templates):
+        words = re.findall("[0-9a-z]+", text.lower())
+        own = sorted(set(words))
+        out.append((i, label, step_of(len(words)), own, math.ceil(threshold * len(own) - 1e-9)))
+    return out
+
+
+def scan_words(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, n_base, first_word, last_word, base, hits, words), a row for each of ``docs``, written once.
+
+    hits are the templates' words that the text has. words is the whole text in
+    order where it has enough words of some template to hold it anywhere, else null.
+    """
+    sets = _sets(templates, threshold)
+    vocabulary = sorted({w for s in sets for w in s[3]})
+    spaced = docs.select(F.col(id_col).alias("id"), _spaced(text_col).alias("w"))
+    words = F.when(F.length("w") > 2, F.split(F.substring(F.col("w"), F.lit(2), F.length("w") - 2), " ")).otherwise(F.array().cast("array<string>"))
+    split = spaced.select("id", "w", words.alias("words"))
+    n_words = F.size("words").cast("long")
+    hits = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))
+    rows = split.select("id", n_words.alias("n_words"), *_places(F.col("w"), n_words, phrases), hits.alias("hits"), "words")
+    # Any |T| - need + 1 words of a template: a text without all of these does not hold it. Long words are rarest.
+    probes = sorted({w for _, _, _, own, need in sets for w in sorted(own, key=lambda w: (-len(w), w))[: len(own) - need + 1]})
+    held = F.lit(False)
+    for _, _, _, own, need in sets:
+        held = held | (F.size(F.array_intersect("hits", F.array(*map(F.lit, own)))) >= need)
+    able = F.when(F.arrays_overlap("hits", F.array(*map(F.lit, probes))), held).otherwise(F.lit(False))
+    return cut(rows.withColumn("words", F.when(able, F.col("words"))), "license-words")
+
+
+def template_blocks(scanned: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, block, label, containment): the blocks of words that hold at least ``threshold`` of a template's distinct words.
+
+    A template of n words is looked for in blocks of ``2 * step_of(n)`` words, which
+    overlap by half, so that no stretch of n words is cut; where lines end does not
+    matter. Exact: the words are ordered by the number of texts of the whole table
+    that have them, rarest first. A block that holds a template to the threshold t
+    has one of the first |T| - ceil(t |T|) + 1 of its words, so only those are
+    joined; blocks with too few words, or met too late in either order to leave
+    enough, are dropped; the rest are counted. The join's small side has a few rows
     for each template and nothing of the corpus.
     """
-    spark = docs.sparkSession
-    sets = [(i, label, sorted(set(re.findall("[0-9a-z]+", t)))) for i, (label, t) in enumerate(templates)]
-    need = {i: math.ceil(threshold * len(words) - 1e-9) for i, _, words in sets}
-    vocabulary = sorted({w for _, _, words in sets for w in words})
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(_lines(text_col), "\n")).alias("line", "words"))
-    hits = F.array_intersect(F.split("words", " "), F.array(*map(F.lit, vocabulary)))
-    blocks = cut(lines.select("id", "line", hits.alias("hits")).where(F.size("hits") >= min(need.values())), "license-blocks")
-
-    counts = {r[0]: r[1] for r in blocks.select(F.explode("hits").alias("w")).groupBy("w").count().collect()}  # the templates' words only
+    spark = scanned.sparkSession
+    sets = _sets(templates, threshold)
+    vocabulary = sorted({w for s in sets for w in s[3]})
+    counts = {r[0]: r[1] for r in scanned.select(F.explode("hits").alias("w")).groupBy("w").count().collect()}  # the templates' words only
     order = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    rows = []
-    for i, label, words in sets:
+    rows, steps = [], {}
+    for i, label, step, words, need in sets:
         ranks = sorted(order[w] for w in words)
-        rows += [(rank, i, label, at, ranks, need[i]) for at, rank in enumerate(ranks[: len(ranks) - need[i] + 1])]
-    prefix = spark.range(1).select(F.inline(F.array(*[
-        F.struct(F.lit(rank).alias("rank"), F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(at).alias("at"),
-                 F.array(*map(F.lit, ranks)).alias("ranks"), F.lit(n).alias("need"))
-        for rank, i, label, at, ranks, n in rows
-    ])))
-    rank_of = F.create_map(*[x for w, k in order.items() for x in (F.lit(w), F.lit(k))])
-    firsts = F.array(*[F.lit(r) for r in sorted({r[0] for r in rows})])
-    ranked = blocks.select("id", "line", F.array_sort(F.transform("hits", lambda w: rank_of[w])).alias("own"))
-    probes = ranked.where(F.arrays_overlap("own", firsts)).select("id", "line", "own", F.posexplode("own").alias("pos", "rank"))
+        steps.setdefault(step, set()).update(ranks)
+        rows += [(step, rank, i, label, at, ranks, need) for at, rank in enumerate(ranks[: len(ranks) - need + 1])]
+    prefix = spark.createDataFrame(rows, "step int, rank int, template int, label string, at int, ranks array<int>, need int")
+    uses = spark.createDataFrame([(w, order[w], [s for s in sorted(steps) if order[w] in steps[s]]) for w in vocabulary], "known string, rank int, steps array<int>")
+
+    texts = scanned.where("words is not null").select("id", F.monotonically_increasing_id().alias("row"), "words")
+    found = texts.select("id", "row", F.posexplode("words").alias("pos", "word")).join(F.broadcast(uses), F.col("word") == F.col("known"))
+    # Each word lies in two blocks of each step, the first word of a text in one.
+    in_steps = found.select("id", "row", "pos", "rank", F.explode("steps").alias("step"))
+    last = F.floor(F.col("pos") / F.col("step")).cast("int")
+    placed = in_steps.select("id", "row", "step", F.explode(F.sequence(F.greatest(F.lit(0), last - 1), last)).alias("block"), "rank")
+    blocks = placed.groupBy("id", "row", "step", "block").agg(F.array_sort(F.collect_set("rank")).alias("own"))
+
+    probes = blocks.select("id", "step", "block", "own", F.posexplode("own").alias("pos", "rank"))
     later = F.least(F.size("ranks") - F.col("at"), F.size("own") - F.col("pos"))
     held = F.size(F.array_intersect("own", "ranks"))
     return (
-        probes.join(F.broadcast(prefix), "rank")
-        .where(F.least("at", "pos") + later >= F.col("need"))
-        .select("id", "line", "template", "label", "need", held.alias("held"), (held / F.size("ranks")).alias("containment"))
+        probes.join(F.broadcast(prefix), ["step", "rank"])
+        .where((F.size("own") >= F.col("need")) & (F.least("at", "pos") + later >= F.col("need")))
+        .select("id", "block", "template", "label", "need", held.alias("held"), (held / F.size("ranks")).alias("containment"))
         .where(F.col("held") >= F.col("need"))
-        .select("id", "line", "template", "label", "containment").distinct()
+        .select("id", "block", "template", "label", "containment").distinct()
     )
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of ``docs``.
 
     Words are runs of 0-9, a-z (A-Z lower-cased) and non-ASCII characters of the
@@ -128,9 +146,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty texts have no words. Rows that share an id share its blocks' labels;
     other columns are left out.
     """
-    found = template_blocks(docs, id_col=id_col, text_col=text_col).groupBy(F.col("id").alias("found_id")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("most"))
-    places = phrase_places(docs, id_col=id_col, text_col=text_col)
-    joined = places.join(found, F.col("id").eqNullSafe(F.col("found_id")), "left")
+    scanned = scan_words(docs, templates, id_col=id_col, text_col=text_col)
+    found = template_blocks(scanned, templates).groupBy(F.col("id").alias("found_id")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("most"))
+    joined = scanned.drop("hits", "words").join(found, F.col("id").eqNullSafe(F.col("found_id")), "left")
     empty = F.array().cast("array<string>")
     return joined.select(
         "id", "n_words", "n_base", "first_word", "last_word",

@@ -6,7 +6,8 @@ import math
 import re
 
 from barloom.llm.embedding_dedup import THRESHOLD as NEAR
-from barloom.llm.licenses import PHRASES, TEMPLATES, THRESHOLD
+from barloom.llm.license_texts import TEMPLATES
+from barloom.llm.licenses import PHRASES, THRESHOLD, step_of
 
 _WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
@@ -16,12 +17,13 @@ def _list(words: list[str]) -> str:
 
 
 def licenses_sql() -> str:
-    """Every line of every text against every template, and every place of every phrase."""
+    """Every block of every text against every template, and every place of every phrase."""
     phrases = ", ".join(f"({_list(p.split())}, '{label}')" for p, label in PHRASES.items())
     rows = []
     for label, text in TEMPLATES:
-        words = sorted(set(re.findall("[0-9a-z]+", text)))
-        rows.append(f"({_list(words)}, '{label}', {math.ceil(THRESHOLD * len(words) - 1e-9)})")
+        words = re.findall("[0-9a-z]+", text.lower())
+        own = sorted(set(words))
+        rows.append(f"({_list(own)}, '{label}', {step_of(len(words))}, {math.ceil(THRESHOLD * len(own) - 1e-9)})")
     return f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(t, {_WORDS}) AS w FROM d),
@@ -31,10 +33,10 @@ places AS (
 base AS (
   SELECT doc_id, CAST(sum(len(places)) AS BIGINT) AS n_base, min(list_min(places)) AS first_word, max(list_max(places)) AS last_word,
          coalesce(list(DISTINCT label) FILTER (WHERE len(places) > 0), []) AS base FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), {_WORDS}) AS words FROM d),
-templates(ws, label, need) AS (VALUES {', '.join(rows)}),
+templates(ws, label, step, need) AS (VALUES {', '.join(rows)}),
 blocks AS (
-  SELECT doc_id, label, need, len(list_intersect(words, ws)) AS held, len(ws) AS n FROM lines, templates),
+  SELECT doc_id, label, need, len(ws) AS n,
+         list_max([len(list_intersect(w[k * step + 1 : (k + 2) * step], ws)) for k in range(0, (len(w) - 1) // step + 1)]) AS held FROM w, templates WHERE len(w) >= need),
 found AS (
   SELECT doc_id, list(DISTINCT label) AS found, max(CAST(held AS DOUBLE) / n) AS most FROM blocks WHERE held >= need GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, n_base, first_word, last_word,
