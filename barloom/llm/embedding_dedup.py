@@ -9,35 +9,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.graph import Forest, connected_components
+from barloom.llm.graph import Forest, block_pairs, connected_components
 from barloom.runtime import cut
 
 THRESHOLD = 0.98
 #: Distinct vectors that a shard should hold, and the most before it is split by a hash of the id.
-SHARD, SHARD_MOST = 2000, 4000
+SHARD, SHARD_MOST = 1000, 2000
 #: Askers that a search group should hold, at most.
-ASK_MOST = 4000
+ASK_MOST = 1000
 #: Shards that each vector joins.
 OVERLAP = 2
-#: Vectors that cluster centres are fitted on, at most.
-SAMPLE = 20_000
+#: Vectors that the centres of a level are fitted on, and centres of a level, at most.
+SAMPLE, CENTERS = 20_000, 1000
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 24
 #: A search goes on from what is this near, if no nearer than the threshold.
 RANGE = 0.94
 BLOCK = 512
+#: Queries of the audit, and the recall below which the operator fails.
+AUDITED, LEAST_RECALL = 200, 0.9
+FLOAT, DOUBLE = "<f4", "<f8"
 
 
 def usable(v) -> bool:
     return v is not None and len(v) > 0 and bool(np.isfinite(v).all()) and bool(np.any(v))
 
 
-def unit(keys: list[bytes]) -> np.ndarray:
-    """Unit rows in double precision of vectors held as float32 bytes, all of one length."""
-    x = np.frombuffer(b"".join(keys), np.float32).reshape(len(keys), -1).astype(np.float64)
+def unit(keys: list[bytes], kind: str) -> np.ndarray:
+    """Unit rows in double precision of vectors held as the bytes of their components, all of one length."""
+    x = np.frombuffer(b"".join(keys), kind).reshape(len(keys), -1).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow of squares
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def links(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which unit rows link; a pair at the threshold is settled by its exact sum, so in one way wherever it is met."""
+    sim = a @ b.T
+    close = sim >= THRESHOLD
+    for i, j in zip(*np.nonzero(np.abs(sim - THRESHOLD) < 1e-12)):
+        close[i, j] = math.fsum(a[i] * b[j]) >= THRESHOLD
+    return close
+
+
 # -- the graph of one shard ---------------------------------------------------
 
 
@@ -89,11 +101,11 @@ def range_search(x: np.ndarray, links: list[np.ndarray], start: int, q: np.ndarr
     pool_ids, pool_sim = np.array([start]), np.array([x[start] @ q])
     spent: set[int] = set()
     while True:
-        fresh = [i for i in pool_ids.tolist() if i not in spent]
+        fresh = [k for k, i in enumerate(pool_ids.tolist()) if i not in spent]
         if not fresh:
             break
-        # The best few at once; their neighbours are compared in one product.
-        fresh = fresh[:4]
+        # The best few at once, and all that are in range; their neighbours are compared in one product.
+        fresh = pool_ids[[k for n, k in enumerate(fresh) if n < 4 or pool_sim[k] >= RANGE]].tolist()
         spent.update(fresh)
         new = np.unique(np.concatenate([links[i] for i in fresh]))
         new = new[~seen[new]]
@@ -128,8 +140,15 @@ def fit_centers(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def _kind(rows: DataFrame, vector_col: str) -> str:
+    """Floats stay floats; components of any other kind are doubles."""
+    return FLOAT if rows.schema[vector_col].dataType.simpleString() == "array<float>" else DOUBLE
+
+
 def _vectors(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(id, label, key): key is the vector as float32 bytes, null if it links with nothing."""
+    """(id, label, key): key is the bytes of the vector's components, null if it links with nothing."""
+    kind = _kind(rows, vector_col)
+    zero = np.zeros(1, kind)
 
     def task(batches):
         for b in batches:
@@ -139,37 +158,39 @@ def _vectors(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> D
                 if x is None or label is None or i is None or x.null_count:
                     keys.append(None)
                     continue
-                x = x.to_numpy(zero_copy_only=False).astype(np.float32) + np.float32(0)
+                x = x.to_numpy(zero_copy_only=False).astype(kind) + zero
                 keys.append(x.tobytes() if usable(x) else None)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(keys, pa.binary())], names=["id", "label", "key"])
 
-    kept = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<float>").alias("v"))
+    width = "float" if kind == FLOAT else "double"
+    kept = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(f"array<{width}>").alias("v"))
     return kept.mapInArrow(task, "id long, label string, key binary")
 
 
-def _centers(reps: DataFrame) -> dict[tuple[str, int], np.ndarray]:
-    """Centres for each (label, length) with more distinct vectors than a shard holds."""
+def _centers(reps: DataFrame, kind: str) -> dict[tuple[str, int], np.ndarray]:
+    """First-level centres for each (label, length) with more distinct vectors than a shard holds.
+
+    They are fitted on SAMPLE vectors at most, shared by these labels, and number
+    CENTERS at most for each; larger cells are divided again by ``_divided``.
+    """
     large = {(r["label"], r["bytes"]): r["count"] for r in reps.groupBy("label", F.octet_length("key").alias("bytes")).count().where(f"count > {SHARD}").collect()}
     if not large:
         return {}
-    total = sum(large.values())
-    every = max(1, math.ceil(total / SAMPLE))
+    every = max(1, math.ceil(sum(large.values()) / SAMPLE))
     picked = reps.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).orderBy(F.xxhash64("rep")).limit(SAMPLE).select("label", "key").collect()
     found = {}
     for (label, size), n in large.items():
         own = [bytes(r["key"]) for r in picked if r["label"] == label and len(r["key"]) == size]
         if own:
-            x = unit(own)
-            found[label, size] = fit_centers(x, min(len(x), math.ceil(n / SHARD)))
+            found[label, size] = fit_centers(unit(own, kind), min(len(own), math.ceil(n / SHARD), CENTERS))
     return found
 
 
-def shards_asked(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(near, asked): each unit row's OVERLAP nearest centres, and a mask of the centres whose shards it asks.
+def may_hold(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(near, held): each unit row's OVERLAP nearest centres, and a mask of the centres that may own a vector in range of it.
 
-    A row asks its own shard, and each of a higher number that may own a vector in
-    range: some point of the cap around the row lies on the other side of the plane
-    between the two centres. So of any two rows in range, one asks the other's shard.
+    A centre may if some point of the cap around the row lies on its side of the
+    plane between it and the row's own centre.
     """
     sim = x @ c.T
     near = np.argsort(-sim, axis=1, kind="stable")[:, :OVERLAP]
@@ -177,17 +198,89 @@ def shards_asked(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gap = sim[np.arange(len(x)), own][:, None] - sim
     norms = (c * c).sum(axis=1)
     apart = norms[own][:, None] + norms[None, :] - 2 * (c[own] @ c.T)
-    asked = THRESHOLD * gap <= math.sqrt(1 - THRESHOLD * THRESHOLD) * np.sqrt(np.maximum(0, apart - gap * gap)) + 1e-9
-    asked &= np.arange(len(c))[None, :] > own[:, None]
-    asked[np.arange(len(x)), own] = True
-    return near, asked
+    held = THRESHOLD * gap <= math.sqrt(1 - THRESHOLD * THRESHOLD) * np.sqrt(np.maximum(0, apart - gap * gap)) + 1e-9
+    held[np.arange(len(x)), own] = True
+    return near, held
+
+
+def shards_asked(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(near, asked): as ``may_hold``, less the centres of a lower number than the row's own.
+
+    Of any two rows in range, one still asks the other's shard.
+    """
+    near, asked = may_hold(x, c)
+    return near, asked & (np.arange(len(c))[None, :] >= near[:, :1])
+
+
+_DEALT = "shard string, rep long, key binary, node boolean, asks boolean, own boolean"
+_SCHEMA = pa.schema([("shard", pa.string()), ("rep", pa.int64()), ("key", pa.binary()), ("node", pa.bool_()), ("asks", pa.bool_()), ("own", pa.bool_())])
+
+
+def _rows_dealt(name: str, ids: list, keys: list, near: np.ndarray, asked: np.ndarray, node: np.ndarray, asks: np.ndarray, own: np.ndarray) -> list[tuple]:
+    """Rows of _DEALT: a node joins the shards of its nearest centres, an asker goes to those it asks."""
+    joined = np.zeros(asked.shape, bool)
+    np.put_along_axis(joined, near, True, axis=1)
+    joined &= node[:, None]
+    asked = asked & asks[:, None]
+    return [
+        (f"{name}/{s}", ids[j], keys[j], bool(joined[j, s]), bool(asked[j, s]), bool(own[j] and near[j, 0] == s))
+        for j, s in zip(*(r.tolist() for r in np.nonzero(joined | asked)))
+    ]
+
+
+def _dealt_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(v, f.type) for v, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
 
-def _members(reps: DataFrame) -> DataFrame:
+def _divided(dealt: DataFrame, kind: str) -> DataFrame:
+    """``dealt`` with each shard of over SHARD_MOST nodes dealt over centres of its own.
+
+    A task fits a shard's centres on a sample of SAMPLE of its nodes at most; blocks
+    of its rows then meet them. Rows of the shard's own leave out centres of a lower
+    number than theirs; rows of other shards ask all that may hold one in range.
+    """
+    sizes = dealt.where("node").groupBy(F.col("shard").alias("__shard")).agg(F.count("*").alias("__n")).where(F.col("__n") > SHARD_MOST)
+    sizes = cut(sizes, "vectors-large")
+    if sizes.isEmpty():
+        return dealt
+    marked = cut(dealt.join(sizes, F.col("shard") == F.col("__shard"), "left").drop("__shard"), "vectors-marked")
+    large = marked.where("__n is not null")
+    share = F.greatest(F.lit(1), F.ceil(F.col("__n") / SAMPLE))
+    picked = large.where("node").where(F.pmod(F.xxhash64("rep", F.lit(2)), share) == 0)
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        n = table.column("__n")[0].as_py()
+        keys = table.column("key").to_pylist()[:SAMPLE]
+        c = fit_centers(unit(keys, kind), min(len(keys), math.ceil(n / SHARD), CENTERS))
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()]), "c": pa.array([c.tobytes()], pa.binary()), "n": pa.array([len(c)], pa.int64())})
+
+    centers = cut(picked.select("shard", "rep", "key", "__n").groupBy("shard").applyInArrow(fit, "shard string, c binary, n long"), "vectors-centers")
+    blocks = F.ceil(F.col("__n") / SHARD).cast("int")
+    rows = large.withColumn("block", F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")).drop("__n")
+    spread = sizes.join(centers, F.col("__shard") == F.col("shard")).select("shard", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "c", "n")
+
+    def deal(rows: pa.Table, center: pa.Table) -> pa.Table:
+        out = []
+        if rows.num_rows and center.num_rows:
+            c = np.frombuffer(center.column("c")[0].as_py()).reshape(center.column("n")[0].as_py(), -1)
+            shard = rows.column("shard")[0].as_py()
+            for i in range(0, rows.num_rows, 512):
+                part = rows.slice(i, 512)
+                ids, keys = part.column("rep").to_pylist(), part.column("key").to_pylist()
+                node, asks, own = (part.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in ("node", "asks", "own"))
+                near, held = may_hold(unit(keys, kind), c)
+                asked = held & (~own[:, None] | (np.arange(len(c))[None, :] >= near[:, :1]))
+                out += _rows_dealt(shard, ids, keys, near, asked, node, asks, own)
+        return pa.Table.from_batches([_dealt_batch(out)] if out else [], _SCHEMA)
+
+    again = rows.groupBy("shard", "block").cogroup(spread.groupBy("shard", "block")).applyInArrow(deal, _DEALT)
+    return marked.where("__n is null").drop("__n").union(again)
+
+
+def _members(reps: DataFrame, kind: str) -> DataFrame:
     """(shard, rep, key, node, asks, part, parts, blocks): each distinct vector in its OVERLAP nearest shards as a node, and in those it asks."""
-    centers = reps.sparkSession.sparkContext.broadcast(_centers(reps))  # total / SHARD rows, of at most SAMPLE
-    names = ["shard", "rep", "key", "node", "asks"]
-    kinds = (pa.string(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_())
+    centers = reps.sparkSession.sparkContext.broadcast(_centers(reps, kind))  # CENTERS a label at most
 
     def task(batches):
         table = centers.value
@@ -200,38 +293,34 @@ def _members(reps: DataFrame) -> DataFrame:
                 c = table.get((label, size))
                 for k in range(0, len(every), 512):
                     at = every[k : k + 512]
+                    own_ids, own_keys, yes = [ids[i] for i in at], [keys[i] for i in at], np.ones(len(at), bool)
                     if c is None or len(c) < 2:
-                        rows = [(f"{label}/{size}/0", ids[i], keys[i], True, True) for i in at]
+                        near, asked = np.zeros((len(at), 1), int), yes[:, None]
                     else:
-                        near, asked = shards_asked(unit([keys[i] for i in at]), c)
-                        joined = np.zeros(asked.shape, bool)
-                        np.put_along_axis(joined, near, True, axis=1)
-                        rows = [
-                            (f"{label}/{size}/{s}", ids[at[j]], keys[at[j]], bool(joined[j, s]), bool(asked[j, s]))
-                            for j, s in zip(*(r.tolist() for r in np.nonzero(joined | asked)))
-                        ]
-                    yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=names)
-
-    dealt = cut(reps.select("label", "rep", "key").mapInArrow(task, "shard string, rep long, key binary, node boolean, asks boolean"), "vectors-dealt")
+                        near, asked = shards_asked(unit(own_keys, kind), c)
+                    yield _dealt_batch(_rows_dealt(f"{label}/{size}", own_ids, own_keys, near, asked, yes, yes, yes))
+
+    dealt = cut(reps.select("label", "rep", "key").mapInArrow(task, _DEALT), "vectors-dealt")
+    dealt = cut(_divided(dealt, kind), "vectors-divided")
     sizes = dealt.groupBy(F.col("shard").alias("__shard")).agg(
         F.greatest(F.lit(1), F.ceil(F.count_if("node") / SHARD_MOST)).cast("int").alias("parts"),
         F.greatest(F.lit(1), F.ceil(F.count_if("asks") / ASK_MOST)).cast("int").alias("blocks"),
     )
-    split = dealt.join(sizes, F.col("shard") == F.col("__shard")).drop("__shard")
+    split = dealt.join(sizes, F.col("shard") == F.col("__shard")).drop("__shard", "own")
     return cut(split.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int")), "vectors-members")
 
 
-def graph_links(reps: DataFrame) -> DataFrame:
+def graph_links(reps: DataFrame, kind: str = FLOAT) -> DataFrame:
     """Edges (u, v) between distinct vectors (label, rep, key) at cosine >= THRESHOLD, found through the graph.
 
     They connect what the searches found, without all pairs of a dense group.
     """
-    members = _members(reps)
+    members = _members(reps, kind)
 
     def build(table: pa.Table) -> pa.Table:
         ids = table.column("rep").to_numpy()
-        links = build_graph(unit(table.column("key").to_pylist()))
-        return pa.table({"rep": pa.array(ids), "near": pa.array([ids[v].tolist() for v in links], pa.list_(pa.int64()))})
+        near = build_graph(unit(table.column("key").to_pylist(), kind))
+        return pa.table({"rep": pa.array(ids), "near": pa.array([ids[v].tolist() for v in near], pa.list_(pa.int64()))})
 
     own = members.where("node").select("shard", "part", "rep", "key").groupBy("shard", "part").applyInArrow(build, "rep long, near array<long>")
     # The union of a vector's lists: one from each shard it joined.
@@ -251,23 +340,23 @@ def graph_links(reps: DataFrame) -> DataFrame:
         if inside.num_rows:
             ids = inside.column("rep").to_numpy()
             at = {int(r): i for i, r in enumerate(ids)}
-            x = unit(inside.column("key").to_pylist())
-            links = [np.array([at[v] for v in near if v in at], np.int64) for near in inside.column("near").to_pylist()]
+            x = unit(inside.column("key").to_pylist(), kind)
+            near = [np.array([at[v] for v in vs if v in at], np.int64) for vs in inside.column("near").to_pylist()]
             middle = x.mean(axis=0)
             start = int((x @ middle).argmax())
             asks = table.filter(pa.array(~node))
             seen = Forest()
-            for r, q in zip(asks.column("rep").to_pylist(), unit(asks.column("key").to_pylist()) if asks.num_rows else []):
-                hits = range_search(x, links, start, q)
-                for v, sim in zip(ids[hits].tolist(), (x[hits] * q).sum(axis=1).tolist()):
-                    if v != r and sim >= THRESHOLD and seen.join(r, v):
+            for r, q in zip(asks.column("rep").to_pylist(), unit(asks.column("key").to_pylist(), kind) if asks.num_rows else []):
+                hits = range_search(x, near, start, q)
+                for v in ids[hits[links(x[hits], q[None, :])[:, 0]]].tolist():
+                    if v != r and seen.join(r, v):
                         found.append((r, v))
         return pa.table({"u": pa.array([e[0] for e in found], pa.int64()), "v": pa.array([e[1] for e in found], pa.int64())})
 
     return nodes.union(asking).groupBy("shard", "part", "block").applyInArrow(search, "u long, v long")
 
 
-def exact_links(classes: DataFrame) -> DataFrame:
+def exact_links(classes: DataFrame, kind: str = FLOAT) -> DataFrame:
     """(rep, n): how many other rows link with each distinct vector (root, rep, copies, key) of its component.
 
     Components are cut into blocks of about BLOCK vectors, and every two blocks of
@@ -280,23 +369,21 @@ def exact_links(classes: DataFrame) -> DataFrame:
         .select("root", "block", F.col("rows.rep").alias("reps"), F.col("rows.copies").alias("copies"), F.col("rows.key").alias("keys")),
         "vectors-blocks",
     )
-    a = lists.select("root", F.col("block").alias("i"), F.col("reps").alias("ra"), F.col("copies").alias("ca"), F.col("keys").alias("ka"))
-    b = lists.select("root", F.col("block").alias("j"), F.col("reps").alias("rb"), F.col("copies").alias("cb"), F.col("keys").alias("kb"))
-    pairs = a.join(b, "root").where("i <= j").drop("root")
+    pairs = block_pairs(lists, ["root"], ["reps", "copies", "keys"], with_itself=True)
+    pairs = pairs.select((F.col("i") == F.col("j")).alias("same"), *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("reps", "copies", "keys")])
 
     def task(batches):
         for t in batches:
             reps, sums = [], []
-            c = {n: t.column(n).to_pylist() for n in t.schema.names}
-            for k in range(t.num_rows):
-                close = unit(c["ka"][k]) @ unit(c["kb"][k]).T >= THRESHOLD
-                if c["i"][k] == c["j"][k]:
+            for same, ra, ca, ka, rb, cb, kb in zip(*(c.to_pylist() for c in t.columns)):
+                close = links(unit(ka, kind), unit(kb, kind))
+                if same:
                     np.fill_diagonal(close, False)
-                reps += c["ra"][k]
-                sums += (close @ np.array(c["cb"][k])).tolist()
-                if c["i"][k] != c["j"][k]:
-                    reps += c["rb"][k]
-                    sums += (np.array(c["ca"][k]) @ close).tolist()
+                reps += ra
+                sums += (close @ np.array(cb)).tolist()
+                if not same:
+                    reps += rb
+                    sums += (np.array(ca) @ close).tolist()
             yield pa.record_batch([pa.array(reps, pa.int64()), pa.array(sums, pa.int64())], names=["rep", "n"])
 
     return pairs.mapInArrow(task, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
@@ -316,12 +403,16 @@ def vector_components(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
     them.
     """
     vectors = cut(_vectors(rows, id_col, vector_col, label_col), "vectors")
+    return _components(vectors, _kind(rows, vector_col))
+
+
+def _components(vectors: DataFrame, kind: str) -> DataFrame:
     distinct = vectors.where("key is not null").groupBy("label", "key").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     # Nodes are numbered apart from the ids, which two vectors may share.
     reps = cut(distinct.withColumn("rep", F.monotonically_increasing_id()), "vectors-distinct")
-    roots = cut(connected_components(graph_links(reps)), "vectors-roots")
+    roots = cut(connected_components(graph_links(reps, kind)), "vectors-roots")
     classes = cut(reps.join(roots, F.col("rep") == F.col("node")).select("root", "rep", "least", "copies", "key"), "vectors-classes")
-    counted = exact_links(classes.select("root", "rep", "copies", "key"))
+    counted = exact_links(classes.select("root", "rep", "copies", "key"), kind)
     lowest = classes.groupBy("root").agg(F.min("least").alias("lowest"))
     linked = classes.join(lowest, "root").select(F.col("rep").alias("__rep"), "lowest").join(counted.withColumnRenamed("rep", "__of"), F.col("__rep") == F.col("__of"), "left")
     facts = cut(
@@ -338,18 +429,13 @@ def vector_components(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def audit_recall(rows: DataFrame, sample: int = 200, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[int, int]:
-    """(found, true): pairs at cosine >= THRESHOLD of sampled queries with all rows, and those that share a component.
-
-    The queries are the ``sample`` usable rows whose ids hash lowest; ids must be distinct.
-    """
-    vectors = cut(_vectors(rows, id_col, vector_col, label_col).where("key is not null"), "audit-vectors")
-    picked = vectors.orderBy(F.xxhash64("id")).limit(sample).collect()
+def _audit(vectors: DataFrame, components: DataFrame, kind: str, sample: int) -> tuple[int, int]:
+    picked = vectors.where("key is not null").orderBy(F.xxhash64("id")).limit(sample).collect()
     queries: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
     for at in {(r["label"], len(r["key"])) for r in picked}:
         own = [r for r in picked if (r["label"], len(r["key"])) == at]
-        queries[at] = np.array([r["id"] for r in own]), unit([bytes(r["key"]) for r in own])
-    held = rows.sparkSession.sparkContext.broadcast(queries)
+        queries[at] = np.array([r["id"] for r in own]), unit([bytes(r["key"]) for r in own], kind)
+    held = vectors.sparkSession.sparkContext.broadcast(queries)
 
     def task(batches):
         for b in batches:
@@ -358,19 +444,41 @@ def audit_recall(rows: DataFrame, sample: int = 200, id_col: str = "vec_id", vec
             for at, (own, q) in held.value.items():
                 mine = [i for i in range(len(ids)) if (labels[i], len(keys[i])) == at]
                 if mine:
-                    i, j = np.nonzero(unit([keys[k] for k in mine]) @ q.T >= THRESHOLD)
+                    i, j = np.nonzero(links(unit([keys[k] for k in mine], kind), q))
                     pairs = [(ids[mine[x]], int(own[y])) for x, y in zip(i.tolist(), j.tolist()) if ids[mine[x]] != own[y]]
                     us += [p[0] for p in pairs]
                     vs += [p[1] for p in pairs]
             yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    true = vectors.select("id", "label", "key").mapInArrow(task, "u long, v long")
-    of = cut(vector_components(rows, id_col, vector_col, label_col).select("vec_id", "component_id"), "audit-components")
-    a, b = (of.select(F.col("vec_id").alias(f"__{x}"), F.col("component_id").alias(f"__root_{x}")) for x in "uv")
-    both = true.join(a, F.col("u") == F.col("__u")).join(b, F.col("v") == F.col("__v"))
+    true = vectors.where("key is not null").select("id", "label", "key").mapInArrow(task, "u long, v long")
+    a, b = (components.select(F.col("vec_id").alias(f"__{x}"), F.col("component_id").alias(f"__root_{x}")) for x in "uv")
+    # The side of the queries has a row for each of them.
+    asked = b.join(F.broadcast(vectors.sparkSession.createDataFrame([(int(r["id"]),) for r in picked], "__q long").distinct()), F.col("__v") == F.col("__q")).drop("__q").distinct()
+    both = true.join(F.broadcast(asked), F.col("v") == F.col("__v")).join(a, F.col("u") == F.col("__u"))
     found, total = both.agg(F.count_if(F.col("__root_u") == F.col("__root_v")), F.count("*")).first()
     return found, total
 
 
+def audit_recall(rows: DataFrame, sample: int = AUDITED, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[int, int]:
+    """(found, true): pairs at cosine >= THRESHOLD of sampled queries with all rows, and those that share a component.
+
+    The queries are the ``sample`` usable rows whose ids hash lowest; ids must be distinct.
+    """
+    kind = _kind(rows, vector_col)
+    vectors = cut(_vectors(rows, id_col, vector_col, label_col), "audit-vectors")
+    return _audit(vectors, cut(_components(vectors, kind), "audit-components"), kind, sample)
+
+
+def audited_components(rows: DataFrame, sample: int = AUDITED, least: float = LEAST_RECALL) -> DataFrame:
+    """``vector_components`` of rows with distinct ids, checked: the job fails if the audit's recall is under ``least``."""
+    kind = _kind(rows, "embedding")
+    vectors = cut(_vectors(rows, "vec_id", "embedding", "label"), "vectors")
+    out = cut(_components(vectors, kind), "vectors-components")
+    found, true = _audit(vectors, out, kind, sample)
+    if found < least * true:
+        raise RuntimeError(f"the graph found {found} of {true} pairs of the audit")
+    return out
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return audited_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -84,3 +84,28 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("the components have not settled")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def block_pairs(blocks: DataFrame, key: list[str], payload: list[str], with_itself: bool, facts: list[str] = [], unless=None) -> DataFrame:
+    """(key, i, j, a, b): every two blocks of a key, i <> j (also i = j ``with_itself``), once, with the payload of each as a struct.
+
+    ``blocks`` has one row for each (key, block), block from 0. The pairs are made
+    as numbers and dealt over the cluster before they meet the payloads, in turn by
+    one and by the other block, so a key of n blocks gives a task about n / 2 rows.
+    ``unless(a, b)`` leaves out pairs by the columns ``facts`` of both, structs too.
+    """
+    least = F.col("block") + (0 if with_itself else 1)
+    most = blocks.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.max("block").alias("__last"))
+    same = [F.col(k) == F.col(f"__{k}") for k in key]
+
+    def meet(ids: DataFrame, side: str, at: str, columns: list[str]) -> DataFrame:
+        own = blocks.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("block").alias("__block"), F.struct(*columns).alias(side))
+        return ids.join(own, [*same, F.col(at) == F.col("__block")]).drop("__block", *[f"__{k}" for k in key])
+
+    ids = blocks.select(*key, "block").join(most, same).where(least <= F.col("__last"))
+    ids = ids.select(*key, F.col("block").alias("i"), F.explode(F.sequence(least, F.col("__last"))).alias("j"))
+    if unless is not None:
+        ids = meet(meet(ids, "a", "i", facts), "b", "j", facts).where(~unless(F.col("a"), F.col("b")))
+    turned = (F.col("i") + F.col("j")) % 2 == 1
+    ids = ids.select(*key, F.when(turned, F.col("j")).otherwise(F.col("i")).alias("i"), F.when(turned, F.col("i")).otherwise(F.col("j")).alias("j"))
+    return meet(meet(ids, "a", "i", payload), "b", "j", payload)

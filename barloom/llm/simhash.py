@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.graph import Forest, connected_components
+from barloom.llm.graph import Forest, block_pairs, connected_components
 from barloom.runtime import cut
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -257,7 +257,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     def across(batches):
         seen = Forest()
         for b in batches:
-            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
                 e = _linked(np.frombuffer(x + y, np.uint64), seen)
                 if e:
                     yield pa.record_batch(_edges(e), names=["u", "v"])
@@ -269,11 +269,8 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     blocks = found.where("key is not null").select("key", "block", "fps")
     if blocks.isEmpty():
         return near
-    a = blocks.select("key", F.col("block").alias("i"), F.col("fps").alias("a"))
-    b = blocks.select("key", F.col("block").alias("j"), F.col("fps").alias("b"))
-    pairs = a.join(b, "key").where("i < j").select("a", "b")
-    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return near.union(pairs.repartition(tasks).mapInArrow(across, "u long, v long"))
+    pairs = block_pairs(blocks, ["key"], ["fps"], with_itself=False).select(F.col("a.fps").alias("x"), F.col("b.fps").alias("y"))
+    return near.union(pairs.mapInArrow(across, "u long, v long"))
 
 
 def simhash_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

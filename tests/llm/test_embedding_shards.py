@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from barloom.llm import embedding_dedup
@@ -27,6 +28,36 @@ def test_recall_across_shards(spark, monkeypatch):
     assert true == 2000 and found == true
 
 
+def test_recall_across_two_levels_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 20)
+    monkeypatch.setattr(embedding_dedup, "SHARD_MOST", 30)
+    monkeypatch.setattr(embedding_dedup, "CENTERS", 8)
+    x = pairs_near(np.random.default_rng(11), 600, 32)
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    found, true = embedding_dedup.audit_recall(frame, sample=1200)
+    assert true >= 1200 and found == true
+    vectors = embedding_dedup._vectors(frame, "vec_id", "embedding", "label").select("label", F.col("id").alias("rep"), "key")
+    members = embedding_dedup._members(vectors, embedding_dedup.DOUBLE)
+    assert members.select("shard").distinct().count() > 8 * 4
+    assert members.where("node").select("rep").distinct().count() == 1200
+
+
+def test_doubles_stay_doubles(spark):
+    big = 1e300
+    rows = [(1, [big, 0.0], 0), (2, [big, 1.0], 0), (3, [1e-300, 0.0], 0), (4, [0.0, 1.0], 0), (5, [float("inf"), 1.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.audited_components(frame).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
+
+
+def test_a_poor_graph_fails_the_audit(spark, monkeypatch):
+    x = pairs_near(np.random.default_rng(12), 20, 16).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").coalesce(1)
+    monkeypatch.setattr(embedding_dedup, "graph_links", lambda reps, kind: reps.select(reps.rep.alias("u"), reps.rep.alias("v")))
+    with pytest.raises(RuntimeError):
+        embedding_dedup.audited_components(frame)
+
+
 def test_search_groups_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "SHARD", 500)
     monkeypatch.setattr(embedding_dedup, "SHARD_MOST", 50)
@@ -35,7 +66,7 @@ def test_search_groups_are_bounded(spark, monkeypatch):
     base = rng.normal(size=32)
     rows = [(i, (base + rng.normal(scale=0.02, size=32)).astype(np.float32).tobytes()) for i in range(400)]
     reps = spark.createDataFrame([("a", i, bytearray(k)) for i, k in rows], "label string, rep long, key binary").repartition(3)
-    members = embedding_dedup._members(reps)
+    members = embedding_dedup._members(reps, embedding_dedup.FLOAT)
     asked = members.where("asks").groupBy("shard", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks").cast("long"))).count()
     assert members.where("node").select("rep").distinct().count() == 400
     assert asked.agg(F.max("count")).first()[0] < 100

@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import struct
+import textwrap
 import zlib
 from collections import Counter
 
@@ -119,11 +120,11 @@ def test_licenses(docs, none):
                 if words[k : k + len(p)] == p:
                     places.append(k)
                     base.add(label)
-        for line in t.split("\n"):
-            for label, template in licenses.TEMPLATES:
-                own = set(template.split())
-                if len(own & set(word.findall(line))) >= math.ceil(licenses.THRESHOLD * len(own) - 1e-9):
-                    labels_by_id.setdefault(i, set()).add(label)
+        for label, template in licenses.TEMPLATES:
+            listed = re.findall("[0-9a-z]+", template.lower())
+            own, step = set(listed), licenses.step_of(len(listed))
+            if any(len(own & set(words[k : k + 2 * step])) >= math.ceil(licenses.THRESHOLD * len(own) - 1e-9) for k in range(0, len(words), step)):
+                labels_by_id.setdefault(i, set()).add(label)
         want.append((i, len(words), len(places), min(places, default=None), max(places, default=None), base))
     got = rows_of(licenses.scan_licenses(docs))
     expected = sorted(((*w[:5], ",".join(sorted(w[5])), ",".join(sorted(w[5] | labels_by_id.get(w[0], set())))) for w in want), key=repr)
@@ -132,6 +133,18 @@ def test_licenses(docs, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_wrapped_notices_are_found(spark):
+    whole = {label: text for label, text in licenses.TEMPLATES}
+    texts = ["// " + "\n// ".join(textwrap.wrap(" ".join(t.split()), 60)) for t in whole.values()]
+    filler = " ".join(f"filler{i}" for i in range(3000))
+    scattered = " ".join(f"{w} {filler}" for w in whole["mit"].split())
+    rows = [*enumerate([f"{filler}\n{t}\n{filler}" for t in texts]), (100, filler), (101, scattered), (102, "Kelvin \u212aind \u0130t under the m\u0131t license")]
+    got = {r["id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, label in enumerate(whole):
+        assert label in got[i]["labels"].split(","), label
+    assert got[100]["labels"] == got[101]["labels"] == got[102]["labels"] == "" and got[102]["n_words"] == 7
+
+
 # -- quality ------------------------------------------------------------------
 
 
@@ -173,6 +186,8 @@ def test_quality_rules(labelled, docs, none):
     assert len(awkward) == len(TEXTS) and all(not r["kept"] for r in awkward if r["n_words"] < 50)
     assert quality_rules.judge(none, model).count() == 0
     assert quality_rules.keep_good(docs, model).columns == docs.columns
+    twice = quality_rules.fit_quality_model(train.union(train).union(train.withColumn("text", F.concat("text", F.lit(" tail")))), labels, per_class=150)
+    assert np.allclose(twice.weights, model.weights)
     unfit = quality_rules.fit_quality_model(train, labels.limit(0))
     assert all(r["probability"] > 0.99 for r in quality_rules.judge(docs, unfit).collect())
 
@@ -184,6 +199,7 @@ def test_quality_classifier(labelled, docs, none):
     assert all(r["held_out"] == held(i) for i, r in out.items())
     tested = [i for i in out if held(i)]
     assert sum((out[i]["score"] >= 0.7) == (i % 3 > 0) for i in tested) >= 0.95 * len(tested)
+    assert len({out[i]["score"] for i in out}) > 200
     awkward = quality_classifier.score_quality(docs, model).collect()
     assert len(awkward) == len(TEXTS) and all(0 <= r["score"] <= 1 for r in awkward)
     assert quality_classifier.score_quality(none, model).count() == 0
@@ -195,8 +211,13 @@ def test_isotonic_steps_rise():
     rng = np.random.default_rng(1)
     x = rng.normal(size=300)
     y = (rng.random(300) < 1 / (1 + np.exp(-2 * x))).astype(float)
-    knots, values = quality_classifier.pava(x, y, np.ones(300))
-    assert (np.diff(values) >= -1e-12).all() and (np.diff(knots) >= 0).all()
+    steps = quality_classifier.pava(x, y, np.ones(300))
+    assert all(a[1] < b[0] and a[2] < b[2] for a, b in zip(steps, steps[1:]))
+    knots, values = quality_classifier.ranked_steps(steps, 300)
+    assert (np.diff(values) > 0).all() and (np.diff(knots) > 0).all() and values[0] == 0 and values[-1] == 1
+    assert np.abs(np.interp(x, knots, values) - [next(m for lo, hi, m in steps if lo <= v <= hi) for v in x]).max() <= 0.011
+    knots, values = quality_classifier.ranked_steps([(0.0, 0.0, 1.0)], 1)
+    assert 0 < np.interp(0.0, knots, values) < 1
 
 
 # -- tokens, packing, records -------------------------------------------------
@@ -245,12 +266,33 @@ def test_nnls_and_plan():
     y = packing.nnls(a, a @ x)
     assert (y >= 0).all() and np.linalg.norm(a @ y - a @ x) < 1e-6
     combos = packing.combinations_filling(8, 3)
-    assert ((np.arange(1, 9) @ combos) == 8).all() and (combos.sum(axis=0) <= 3).all()
-    rows, n = packing.plan_slots({4: 10, 2: 5, 1: 7}, 256, 32, 3)
+    assert ((np.arange(1, 9) @ combos) == 8).all() and ((combos > 0).sum(axis=0) <= 3).all()
+    assert len({tuple(c) for c in combos.T.tolist()}) == combos.shape[1]
+    histogram = {4: 10, 2: 5, 1: 7, 8: 2}
+    rows, n, solved = packing.plan_slots(histogram, 256, 32, 3)
+    seats = Counter()
+    for b, lo, hi, first, slot, each in rows:
+        for rank in range(lo, hi):
+            seats[first + (rank - lo) // each, slot + (rank - lo) % each, b] += 1
+    assert Counter(b for _, _, b in seats.elements()) == histogram and max(seats.values()) == 1
+    used = Counter()
+    for q, _, b in seats:
+        used[q] += b
+    assert sorted(used) == list(range(n)) and max(used.values()) <= 8 and solved > 0
+    assert sum(used.values()) == sum(b * k for b, k in histogram.items())
+    assert packing.plan_slots({}, 256, 32, 3) == ([], 0, 0)
+
+
+def test_packing_leaves_little_padding(spark):
+    rng = np.random.default_rng(7)
+    sizes = [int(n) for n in np.concatenate([rng.lognormal(6, 1, 3000), rng.integers(1, 30, 2000), [0, 4096, 8192, 9000]])]
+    frame = spark.createDataFrame(list(enumerate(sizes)), "row long, n long").repartition(4)
+    out = packing.place(frame).collect()
     used = Counter()
-    for b, lo, hi, _, _ in rows:
-        used[b] += hi - lo
-    assert n > 0 and used[4] <= 10 and used[2] <= 5 and used[1] <= 7
+    for r in out:
+        used[r["sequence_id"]] += r["length"]
+    assert sorted(used) == list(range(len(used))) and max(used.values()) <= 4096
+    assert sum(used.values()) == sum(sizes) >= 0.97 * 4096 * len(used)
 
 
 @pytest.mark.parametrize("window", [64, 4096])
