@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BLANKS = " \t\n\x0b\x0c\r"
-#: Words that a worker has numbered; three numbers make one exact 63-bit key.
-_MOST_WORDS = (1 << 21) - 1
+#: The largest number of a word, three of which make one exact 63-bit key, and the words that a worker keeps numbered.
+_MOST_WORDS, _KEPT_WORDS = (1 << 21) - 1, 200_000
 
 
 class _Numbers(dict):
@@ -37,7 +37,7 @@ def _numbered(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not _NUMBERS:
         _NUMBERS.append(_Numbers())
     table = _NUMBERS[0]
-    if len(table) > _MOST_WORDS // 2:
+    if len(table) > _KEPT_WORDS:
         table.clear()
     if len(words) > _MOST_WORDS // 2:  # a text of over a million words numbers its own
         own: dict[str, int] = {}
