@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.batches import small_batches
 from barloom.llm.tokens import encoder, public_vocabulary
 
 #: A cut is made on average every 2 ** MASK_BITS bytes, none nearer than LEAST to the last.
@@ -215,6 +216,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     to the empty text. Rows that share an id stay separate; other columns are left
     out.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def task(batches):

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.batches import small_batches
 from barloom.llm.tokens import encoder, public_vocabulary
 from barloom.runtime import cut, prefix_sums
 
@@ -145,6 +146,7 @@ def plan_slots(histogram: dict[int, int], window: int, bin_size: int, depth: int
 
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row, n, ids): a row for each of ``docs``, ids as little-endian uint32 bytes, ``end_id`` last; row is unique."""
+    small_batches(docs.sparkSession)
 
     def task(batches):
         encode = encoder("word", vocabulary).encode

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.batches import small_batches
 from barloom.llm.textstats import TextStats, held_out, training_rows
 from barloom.runtime import cut
 
@@ -108,6 +109,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     and the weights are then solved on all. Without both classes every score is
     the one class's (1 without labels).
     """
+    small_batches(docs.sparkSession)
     rows, sizes = training_rows(docs, labels, per_class)
 
     def measure(batches):
@@ -170,6 +172,7 @@ def score_quality(docs: DataFrame, model: FourierRidge, id_col: str = "doc_id",
     Null and empty texts are scored like others, from statistics that are zero. A
     null id is not held out. Nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
@@ -184,6 +187,7 @@ def score_quality(docs: DataFrame, model: FourierRidge, id_col: str = "doc_id",
 
 def keep_scored(docs: DataFrame, model: FourierRidge, keep_at: float = PREDICT_AT) -> DataFrame:
     """``docs`` without the rows of a lower score; all columns stay."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

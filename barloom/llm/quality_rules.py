@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.batches import small_batches
 from barloom.llm.textstats import TextStats, training_rows
 from barloom.runtime import cut
 
@@ -116,6 +117,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_C
     calibration is weighted to the classes' true sizes. Without rows of both classes
     the model gives every text the one class's probability (1 without labels).
     """
+    small_batches(docs.sparkSession)
 
     def grams(batches):
         for b in batches:
@@ -163,6 +165,7 @@ def judge(docs: DataFrame, model: QualityModel, keep_at: float = KEEP_AT, id_col
     windows. kept: not base_failed and probability >= keep_at. Null and empty texts
     have no words and fail. Nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"]
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
@@ -186,6 +189,7 @@ def judge(docs: DataFrame, model: QualityModel, keep_at: float = KEEP_AT, id_col
 
 def keep_good(docs: DataFrame, model: QualityModel, keep_at: float = KEEP_AT) -> DataFrame:
     """``docs`` without the rows that the rules reject; all columns stay."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

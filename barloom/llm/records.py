@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.batches import small_batches
 from barloom.llm.tokens import encoder, public_vocabulary
 from barloom.runtime import fresh_path
 
@@ -115,6 +116,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0,
     and then renames, so a repeated task replaces the same file. Other columns are
     left out. An empty table gives an empty index.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
 
     def task(batches):

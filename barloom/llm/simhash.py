@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.batches import small_batches
 from barloom.llm.graph import Forest, block_pairs, connected_components
 from barloom.runtime import cut
 
@@ -58,6 +59,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed long. Null and empty texts have 0."""
+    small_batches(docs.sparkSession)
 
     def task(batches):
         for b in batches:

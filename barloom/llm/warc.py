@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.batches import small_batches
 from barloom.runtime import fresh_path
 
 MAGIC = 0x184D2A5D
@@ -168,6 +169,7 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
     equal ids are records of their own. A task writes under its attempt's name and
     then renames. An empty table gives an empty index. Other columns are left out.
     """
+    small_batches(pages.sparkSession)
     spark = pages.sparkSession
     kept = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = mark_revisits(kept).select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "payload_bytes", "payload_digest", "refers_to")
