@@ -14,8 +14,6 @@ from itertools import product
 
 import numpy as np
 
-#: Pieces remembered by one worker; the table is emptied when full (memory only, never results).
-REMEMBERED = 1_000_000
 LONGEST = 64
 
 _BLANK_RUNS = re.compile(r"\s{3}|\s{2}\Z|[\x00\x1c-\x1f]")
@@ -37,13 +35,21 @@ def load(path: str):
 
 
 class PieceEncoder:
-    """Ids of whole texts as little-endian uint32 bytes, equal to the library's."""
+    """Ids of whole texts as little-endian uint32 bytes, equal to the library's.
+
+    A worker remembers ``remembered`` pieces, and with ``once`` only such as it met
+    twice, for which it keeps up to ``once`` others; a full table is emptied (memory
+    only, never results).
+    """
+
+    remembered, once = 1_000_000, 0
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load(path)
         self.special = list(self.tokenizer.get_added_tokens_decoder().values())
         self.special = [t.content for t in self.special]
         self.known: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -61,13 +67,22 @@ class PieceEncoder:
         known = self.known
         out = list(map(known.get, pieces))
         if None in out:
-            if len(known) > REMEMBERED:
-                known.clear()
             gaps = [i for i, x in enumerate(out) if x is None]
-            own = self.fresh(list({pieces[i] for i in gaps}))
+            own, lacking, met = {}, [], self.new
+            for p in {pieces[i] for i in gaps}:
+                if (x := met.pop(p, None)) is None:
+                    lacking.append(p)
+                else:
+                    own[p] = known[p] = x
+            fresh = self.fresh(lacking) if lacking else {}
+            own |= fresh
             for i in gaps:
                 out[i] = own[pieces[i]]
-            known.update((p, x) for p, x in own.items() if len(p) <= LONGEST)
+            if len(known) > self.remembered:
+                known.clear()
+            if len(met) > self.once:
+                met.clear()
+            (met if self.once else known).update((p, x) for p, x in fresh.items() if len(p) <= LONGEST)
         return b"".join(out)
 
     def fresh(self, new: list[str]) -> dict[str, bytes]:
@@ -98,9 +113,12 @@ class WordEncoder(PieceEncoder):
     """A vocabulary with word ends, which drops blanks: a text is cut at each space and line feed.
 
     Its words are runs of letters in lower case, and marks stand apart from them, so
-    a new piece is looked up again without its case and the marks at its end.
+    a new piece is looked up again without its case and the marks at its end. Its
+    table is small, as workers of the pipeline hold those of other stages too.
     """
 
+    remembered, once = 300_000, 100_000
+
     def pieces(self, text: str) -> list[str] | None:
         return [p for p in text.replace("\n", " ").split(" ") if p]
 
