@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from barloom.operators.indicators import before, last, over
+
 SQL: dict[str, str] = {}
 SQL["signal_to_entry_bar"] = """
 SELECT a.symbol, a.i, a.close_ms + 1 AS signal_ms, b.o AS entry_open, b.i AS entry_i FROM {bars_4h} a LEFT JOIN {bars_5m} b ON b.symbol = a.symbol AND b.open_ms = a.close_ms + 1"""
@@ -22,12 +24,15 @@ SQL["asof_last_known_4h"] = """
 WITH u AS (SELECT symbol, close_ms AS at_ms, 0 AS kind, c FROM {bars_4h} UNION ALL SELECT symbol, open_ms AS at_ms, 1 AS kind, NULL AS c FROM {bars_1h}),
 f AS (SELECT symbol, at_ms, kind, max(CASE WHEN kind = 0 THEN at_ms END) OVER (PARTITION BY symbol ORDER BY at_ms, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state_ms FROM u)
 SELECT f.symbol, f.at_ms AS open_ms, f.state_ms, s.c AS state_close FROM f LEFT JOIN {bars_4h} s ON s.symbol = f.symbol AND s.close_ms = f.state_ms WHERE f.kind = 1"""
-SQL["trigger_overlap"] = """
-WITH a AS (SELECT symbol, i FROM {bars_1h} WHERE c > o * 2), b AS (SELECT symbol, i FROM {bars_1h} WHERE v > 200)
+SQL["trigger_overlap"] = f"""
+WITH d AS (SELECT symbol, i, o, h, l, c, c - lag(c) {over()} AS d, max(h) {before(20)} AS hi FROM {{bars_1h}}), s AS (SELECT *, stddev_samp(d) {last(20)} AS vol20 FROM d),
+a AS (SELECT symbol, i FROM s WHERE i >= 20 AND c > hi), b AS (SELECT symbol, i FROM s WHERE i >= 20 AND c > o AND round((c - o) / nullif(vol20, 0), 9) >= 2)
 SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) x UNION ALL SELECT 'first_only' AS part, count(*) AS n FROM (SELECT * FROM a EXCEPT SELECT * FROM b) y UNION ALL SELECT 'second_only' AS part, count(*) AS n FROM (SELECT * FROM b EXCEPT SELECT * FROM a) z"""
 SQL["missing_slots_except"] = """
-WITH g AS (SELECT symbol, i, lead(open_ms) OVER (PARTITION BY symbol ORDER BY i) AS nxt, open_ms FROM {bars_1h})
-SELECT symbol, open_ms + 3600000 AS missing_ms FROM g WHERE nxt IS NOT NULL EXCEPT SELECT symbol, open_ms AS missing_ms FROM {bars_1h}"""
+WITH span AS (SELECT symbol, min(open_ms) AS from_ms, max(open_ms) AS to_ms FROM {bars_1h} GROUP BY symbol)
+SELECT symbol, missing_ms FROM (SELECT symbol, unnest(generate_series(from_ms, to_ms, 3600000)) AS missing_ms FROM span) g EXCEPT SELECT symbol, open_ms AS missing_ms FROM {bars_1h}"""
 SQL["distinct_keep_first"] = "SELECT symbol, day_id, first_i, c FROM (SELECT symbol, CAST(floor(open_ms / 86400000) AS BIGINT) AS day_id, i AS first_i, c, row_number() OVER (PARTITION BY symbol, floor(open_ms / 86400000) ORDER BY i) AS r FROM {bars_1h}) t WHERE r = 1"
+#: The state of the 4h slot before a bar's has closed at its open; that of the bar's own slot has not.
 SQL["causality_check"] = """
-SELECT b.symbol, count(*) AS pairs, count(*) FILTER (WHERE s.close_ms >= b.open_ms) AS violations FROM {bars_1h} b JOIN {bars_4h} s ON s.symbol = b.symbol AND floor(s.open_ms / 14400000) = floor(b.open_ms / 14400000) - 1 GROUP BY b.symbol"""
+SELECT b.symbol, a.back, count(*) AS pairs, count(*) FILTER (WHERE s.close_ms >= b.open_ms) AS violations FROM {bars_1h} b JOIN (VALUES (0), (1)) AS a(back) ON true
+JOIN {bars_4h} s ON s.symbol = b.symbol AND floor(s.open_ms / 14400000) = floor(b.open_ms / 14400000) - a.back GROUP BY b.symbol, a.back"""

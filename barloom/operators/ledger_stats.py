@@ -59,13 +59,13 @@ SELECT CAST(floor(entry_month / 12) AS BIGINT) AS y, CAST(floor(entry_month % 12
 FROM {ledger} GROUP BY GROUPING SETS ((CAST(floor(entry_month / 12) AS BIGINT)), (CAST(floor(entry_month / 12) AS BIGINT), CAST(floor(entry_month % 12 / 3) + 1 AS BIGINT)), (entry_month))"""
 SQL["year_table"] = """
 SELECT run_id, CAST(floor(entry_month / 12) AS BIGINT) AS y, count(*) AS trades, round(avg(CAST(gross_u AS DOUBLE) / risk_u), 6) AS gross_r, round(avg(net_r), 6) AS net_r, round(sum(net_r), 4) AS total_r FROM {ledger} GROUP BY run_id, CAST(floor(entry_month / 12) AS BIGINT)"""
-EQUITY = "daily AS (SELECT run_id, exit_day, CAST(sum(net_u) AS BIGINT) AS net_u FROM {ledger} GROUP BY run_id, exit_day), equity AS (SELECT run_id, exit_day, net_u, CAST(10000000000 + sum(net_u) OVER (PARTITION BY run_id ORDER BY exit_day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS eq FROM daily)"
+EQUITY = "daily AS (SELECT run_id, exit_day, max(exit_month) AS exit_month, CAST(sum(net_u) AS BIGINT) AS net_u FROM {ledger} GROUP BY run_id, exit_day), equity AS (SELECT run_id, exit_day, exit_month, net_u, CAST(10000000000 + sum(net_u) OVER (PARTITION BY run_id ORDER BY exit_day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS eq FROM daily)"
 SQL["equity_drawdown"] = "WITH " + EQUITY + ", p AS (SELECT *, max(eq) OVER (PARTITION BY run_id ORDER BY exit_day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM equity) SELECT run_id, exit_day, eq, peak, peak - eq AS drawdown_u, round(CAST(peak - eq AS DOUBLE) / peak, 9) AS drawdown FROM p"
 SQL["performance_metrics"] = "WITH " + EQUITY + """, p AS (SELECT *, CAST(eq AS DOUBLE) / lag(eq) OVER (PARTITION BY run_id ORDER BY exit_day) - 1 AS ret, max(eq) OVER (PARTITION BY run_id ORDER BY exit_day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM equity)
 SELECT run_id, count(*) AS days, round(CAST(max_by(eq, exit_day) AS DOUBLE) / 10000000000 - 1, 9) AS total_return, round(stddev_samp(ret) * sqrt(365), 9) AS volatility, round(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(365), 6) AS sharpe,
   round(avg(ret) / nullif(sqrt(avg(CASE WHEN ret < 0 THEN ret * ret WHEN ret IS NOT NULL THEN 0 END)), 0) * sqrt(365), 6) AS sortino, round(max(CAST(peak - eq AS DOUBLE) / peak), 9) AS max_drawdown FROM p GROUP BY run_id"""
-SQL["period_returns"] = "WITH " + EQUITY + ", y AS (SELECT run_id, CAST(floor(exit_day / 365) AS BIGINT) AS period, max_by(eq, exit_day) AS eq FROM equity GROUP BY run_id, CAST(floor(exit_day / 365) AS BIGINT)) SELECT run_id, period, eq, round(CAST(eq AS DOUBLE) / lag(eq) OVER (PARTITION BY run_id ORDER BY period) - 1, 9) AS ret FROM y"
-SQL["monthly_pnl"] = "SELECT run_id, CAST(floor(exit_day / 30) AS BIGINT) AS month_id, CAST(sum(net_u) AS BIGINT) AS net_u, count(*) AS trades FROM {ledger} GROUP BY run_id, CAST(floor(exit_day / 30) AS BIGINT)"
+SQL["period_returns"] = "WITH " + EQUITY + ", y AS (SELECT run_id, CAST(floor(exit_month / 12) AS BIGINT) AS period, max_by(eq, exit_day) AS eq FROM equity GROUP BY run_id, CAST(floor(exit_month / 12) AS BIGINT)) SELECT run_id, period, eq, round(CAST(eq AS DOUBLE) / lag(eq) OVER (PARTITION BY run_id ORDER BY period) - 1, 9) AS ret FROM y"
+SQL["monthly_pnl"] = "SELECT run_id, exit_month AS month_id, CAST(sum(net_u) AS BIGINT) AS net_u, count(*) AS trades FROM {ledger} GROUP BY run_id, exit_month"
 SQL["streaks"] = f"""
 WITH o AS (SELECT run_id, CASE WHEN net_u > 0 THEN 1 WHEN net_u < 0 THEN -1 ELSE 0 END AS s, row_number() OVER (PARTITION BY run_id ORDER BY {_ORDER}) AS k FROM {{ledger}}),
 g AS (SELECT run_id, s, k - row_number() OVER (PARTITION BY run_id, s ORDER BY k) AS g FROM o), c AS (SELECT run_id, s, count(*) AS n FROM g GROUP BY run_id, s, g)
@@ -91,18 +91,11 @@ SQL["canonical_collapse"] = """
 SELECT run_id, entry_day, part_key, count(*) AS events, count(DISTINCT side) AS sides, min(net_u) AS least_net, max(net_u) AS most_net, count(DISTINCT net_u) > 1 AS conflict FROM {ledger} GROUP BY run_id, entry_day, part_key HAVING count(*) > 1"""
 SQL["regime_table"] = "SELECT run_id, regime, side, count(*) AS trades, round(avg(net_r), 6) AS mean_r FROM {ledger} GROUP BY run_id, regime, side"
 SQL["standard_errors"] = "SELECT run_id, regime, count(*) AS n, round(stddev_samp(net_r) / sqrt(count(*)), 9) AS se, round(2.801585E0 / sqrt(count(*)), 9) AS detectable, CAST(greatest(2, least(50, round(power(count(*), 1.0E0 / 3)))) AS BIGINT) AS block_length FROM {ledger} GROUP BY run_id, regime"
-SQL["benjamini_hochberg"] = """
-WITH t AS (SELECT run_id, regime, side, least(1E0, greatest(1E-9, exp(-abs(avg(net_r)) / nullif(stddev_samp(net_r), 0) * sqrt(count(*))))) AS p FROM {ledger} GROUP BY run_id, regime, side),
-r AS (SELECT *, row_number() OVER (ORDER BY p, run_id, regime, side) AS k, count(*) OVER () AS m FROM t)
-SELECT run_id, regime, side, round(p, 9) AS p, round(least(1E0, min(p * m / k) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 9) AS q FROM r"""
 SQL["mc_export"] = "SELECT run_id, trade_key, line, part_key, supp_key, side, entry_day, exit_day, net_r, net_r AS net_R_alias, notional_u, net_u FROM {ledger} WHERE net_r IS NOT NULL"
 SQL["mc_export_counts"] = "SELECT run_id, count(net_r) AS exported, count(*) FILTER (WHERE net_r IS NULL) AS skipped FROM {ledger} GROUP BY run_id"
 SQL["mc_summary"] = """
 WITH o AS (SELECT run_id, net_r, row_number() OVER (PARTITION BY run_id ORDER BY net_r) - 1 AS k, count(*) OVER (PARTITION BY run_id) AS n FROM {ledger})
 SELECT run_id, max(n) AS n, round(avg(net_r), 6) AS mean, round(max(CASE WHEN k = floor(n / 2) THEN net_r END), 9) AS upper_median, round(min(net_r), 9) AS least, round(max(net_r), 9) AS most FROM o GROUP BY run_id"""
-SQL["tie_conventions"] = """
-SELECT convention, count(*) AS trades, round(avg(CASE convention WHEN 'stop_first' THEN least(net_r, 0) WHEN 'tie_win' THEN greatest(net_r, 0) ELSE net_r / 2 END), 6) AS mean_r
-FROM {ledger} JOIN (VALUES ('stop_first'), ('tie_win'), ('tie_split')) AS t(convention) ON true GROUP BY convention"""
 SQL["run_comparison"] = """
 WITH s AS (SELECT run_id, CAST(sum(net_u) AS BIGINT) AS net_u, avg(net_r) AS mean_r FROM {ledger} GROUP BY run_id)
 SELECT a.run_id AS run_a, b.run_id AS run_b, b.net_u - a.net_u AS net_delta, round(b.mean_r - a.mean_r, 6) AS mean_r_delta FROM s a JOIN s b ON a.run_id < b.run_id"""

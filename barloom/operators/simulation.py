@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from barloom.runtime import prefix_sums
 from barloom.sources.frames import FRAMES
 
-RESAMPLES, SEED = 200, 20240101
+RESAMPLES, SEED = 2000, 20240101
+#: Rows whose draws are held at once.
+HELD = 512
 #: Chances of 0, 1, 2 ... draws of one row in a resample of its own size.
 _POISSON = np.cumsum(np.exp(-1) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880], float))
 
@@ -40,8 +42,13 @@ def replicates(rows: DataFrame, resamples: int, seed: int) -> DataFrame:
     def sums(parts):
         for p in parts:
             for g, rows in p.groupby("g"):
-                w = draws(rows["k"].to_numpy(np.int64), resamples, seed)
-                yield pd.DataFrame({"g": g, "b": np.arange(resamples), "n": w.sum(axis=0), "s": w.T @ rows["x"].to_numpy(float)})
+                keys, x = rows["k"].to_numpy(np.int64), rows["x"].to_numpy(float)
+                n, s = np.zeros(resamples, np.int64), np.zeros(resamples)
+                for i in range(0, len(keys), HELD):
+                    w = draws(keys[i : i + HELD], resamples, seed)
+                    n += w.sum(axis=0)
+                    s += x[i : i + HELD] @ w
+                yield pd.DataFrame({"g": g, "b": np.arange(resamples), "n": n, "s": s})
 
     return rows.mapInPandas(sums, "g string, b long, n long, s double").groupBy("g", "b").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
 
@@ -103,6 +110,26 @@ def paired_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired_difference(trades.where("side = 'long'"), trades.where("side = 'short'"), "run_id", "net_r", order)
 
 
+def false_discovery(tests: DataFrame, p: str, order: list[str]) -> DataFrame:
+    """``tests`` with q: the Benjamini-Hochberg adjusted p-values; null p-values are not tests.
+
+    There is a row for each cell that was tested, whatever the trades.
+    """
+    from pyspark.sql import Window
+
+    ranked = tests.where(F.col(p).isNotNull()).withColumns({"k": F.row_number().over(Window.orderBy(p, *order)), "m": F.count("*").over(Window.partitionBy())})
+    later = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("m") / F.col("k")).over(later))).drop("k", "m")
+
+
+def benjamini_hochberg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap p-values of the mean R of each run, regime and side, adjusted together."""
+    trades = FRAMES["ledger"][0](spark, sf_dir)
+    key = F.xxhash64("trade_key", "line", "part_key", "supp_key", "net_u", "notional_u")
+    cells = bootstrap_mean(trades.withColumns({"key": key, "cell": F.concat_ws("/", "run_id", "regime", "side")}), "cell", "net_r", "key")
+    return false_discovery(cells.select("cell", "n", "mean", "p_value"), "p_value", ["cell"])
+
+
 def monte_carlo_paths(spark: SparkSession, sf_dir: str, paths: int = 200, block: int = 10, fraction: float = 0.001) -> DataFrame:
     """Circular block bootstrap of each run's daily R, compounded: terminal wealth and drawdown by run.
 
@@ -128,4 +155,4 @@ def monte_carlo_paths(spark: SparkSession, sf_dir: str, paths: int = 200, block:
     )
 
 
-QUERIES = {"bootstrap_runs": bootstrap_runs, "clustered_bootstrap_runs": clustered_bootstrap_runs, "paired_sides": paired_sides, "monte_carlo_paths": monte_carlo_paths}
+QUERIES = {"benjamini_hochberg": benjamini_hochberg, "bootstrap_runs": bootstrap_runs, "clustered_bootstrap_runs": clustered_bootstrap_runs, "paired_sides": paired_sides, "monte_carlo_paths": monte_carlo_paths}

@@ -36,20 +36,24 @@ labelled AS (
     ELSE CASE WHEN price > lag(price) OVER ({_S}) THEN 'HL' ELSE 'LL' END END AS label FROM swings)"""
 SQL["swing_labels"] = f"WITH {swings_sql('bars_1h')}, {LABELS} SELECT symbol, i, conf, kind, price, label, lag(label) OVER ({_S}) AS previous_label FROM labelled WHERE label IS NOT NULL"
 
-SQL["break_of_structure"] = f"""
-WITH {swings_sql('bars_1h')},
+#: A swing beyond the price of one of the five swings before it of the other kind; the earliest of these counts.
+BREAKS = """
 hits AS (
   SELECT a.symbol, a.s, a.i, a.conf, a.kind, a.price, b.s AS ref_s, b.price AS ref_price, row_number() OVER (PARTITION BY a.symbol, a.s ORDER BY b.s) AS r
   FROM swings a JOIN swings b ON a.symbol = b.symbol AND b.s >= a.s - 5 AND b.s < a.s AND b.kind <> a.kind
-   AND ((a.kind = 'high' AND a.price < b.price) OR (a.kind = 'low' AND a.price > b.price)) WHERE a.s >= 2)
-SELECT symbol, i, conf, kind, price, CAST(ref_s AS BIGINT) AS broken_seq, ref_price AS broken_level, round(abs(price - ref_price), 2) AS penetration FROM hits WHERE r = 1"""
-
-SQL["structure_shift"] = f"""
-WITH {swings_sql('bars_1h')},
-p AS (SELECT *, lag(kind) OVER ({_S}) AS k1, lag(price) OVER ({_S}) AS p1, lag(kind, 2) OVER ({_S}) AS k2, lag(price, 2) OVER ({_S}) AS p2, lag(kind, 3) OVER ({_S}) AS k3, lag(price, 3) OVER ({_S}) AS p3 FROM swings),
-st AS (SELECT *, CASE WHEN k3 = k2 AND k2 = k1 THEN CASE WHEN p2 > p3 THEN 'up' WHEN p2 < p3 THEN 'down' ELSE 'flat' END END AS was,
-              CASE WHEN k3 = k2 AND k2 = k1 THEN CASE WHEN p1 > p2 THEN 'up' WHEN p1 < p2 THEN 'down' ELSE 'flat' END END AS now_is FROM p)
-SELECT symbol, i, conf, was AS previous_state, now_is AS new_state FROM st WHERE was IN ('up', 'down') AND now_is IN ('up', 'down') AND was <> now_is"""
+   AND ((a.kind = 'high' AND a.price > b.price) OR (a.kind = 'low' AND a.price < b.price)) WHERE a.s >= 2),
+breaks AS (
+  SELECT symbol, i, conf, kind, price, CAST(ref_s AS BIGINT) AS broken_seq, ref_price AS broken_level, round(abs(price - ref_price), 2) AS penetration,
+         CASE WHEN kind = 'high' THEN 'long' ELSE 'short' END AS direction FROM hits WHERE r = 1)"""
+SQL["break_of_structure"] = f"WITH {swings_sql('bars_1h')}, {BREAKS} SELECT * FROM breaks"
+
+#: The swing that turns two of its kind the other way; it stands one before the swing that the window ends with.
+SHIFTS = f"""
+p AS (SELECT *, lag(i) OVER ({_S}) AS i1, lag(conf) OVER ({_S}) AS conf1, lag(kind) OVER ({_S}) AS k1, lag(price) OVER ({_S}) AS p1, lag(kind, 2) OVER ({_S}) AS k2, lag(price, 2) OVER ({_S}) AS p2, lag(kind, 3) OVER ({_S}) AS k3, lag(price, 3) OVER ({_S}) AS p3 FROM swings),
+st AS (SELECT *, CASE WHEN k3 = k2 AND k2 = k1 THEN CASE WHEN p2 > p3 THEN 'up' ELSE 'down' END END AS was,
+              CASE WHEN k3 = k2 AND k2 = k1 THEN CASE WHEN p1 > p2 THEN 'up' ELSE 'down' END END AS now_is FROM p),
+shifts AS (SELECT symbol, i1 AS i, conf1 AS conf, p1 AS price, was AS previous_state, now_is AS new_state FROM st WHERE was IN ('up', 'down') AND now_is IN ('up', 'down') AND was <> now_is)"""
+SQL["structure_shift"] = f"WITH {swings_sql('bars_1h')}, {SHIFTS} SELECT * FROM shifts"
 
 RANGE_LEVELS = f"""
 rolled AS (
@@ -107,13 +111,34 @@ SELECT symbol, i, side, price, level_type,
   round(CASE WHEN side = 'high' THEN (h - next_close) / nullif(h - price, 0) ELSE (next_close - l) / nullif(price - l, 0) END, 6) AS recovery_ratio,
   round(CASE WHEN side = 'high' THEN (h - greatest(o, c)) / nullif(h - l, 0) ELSE (least(o, c) - l) / nullif(h - l, 0) END, 6) AS wick_ratio, v AS volume
 FROM sweeps"""
+#: Structure known within LOOKBACK bars before a sweep is met by blocks of as many bars.
+LOOKBACK = 100
 SQL["sweep_structure_context"] = f"""
-WITH {LEVELS}, {SWEEPS}, {swings_sql('bars_1h')}
-SELECT w.symbol, w.i, w.side, w.price, count(*) AS swings_near, max(s.conf) AS latest_conf, max_by(s.kind, s.s) AS latest_kind
-FROM sweeps w JOIN swings s ON s.symbol = w.symbol AND s.conf <= w.i AND s.conf >= w.i - 100 AND abs(s.price - w.price) * 100 <= w.price
-GROUP BY w.symbol, w.i, w.side, w.price"""
+WITH {LEVELS}, {SWEEPS}, {swings_sql('bars_1h')}, {LABELS}, {BREAKS}, {SHIFTS},
+known AS (
+  SELECT symbol, conf, i, broken_level, direction FROM breaks
+  UNION ALL SELECT symbol, conf, i, NULL AS broken_level, NULL AS direction FROM labelled WHERE label IS NOT NULL
+  UNION ALL SELECT symbol, conf, i, NULL AS broken_level, NULL AS direction FROM shifts),
+asked AS (SELECT w.symbol, w.i, w.side, w.price, floor(w.i / {LOOKBACK}) - d.k AS block FROM sweeps w JOIN (VALUES (0), (1), (2)) AS d(k) ON true),
+near AS (
+  SELECT w.symbol, w.i, w.side, w.price, count(k.conf) AS known,
+         count(*) FILTER (WHERE abs(k.broken_level - w.price) * 100 <= w.price AND ((w.side = 'high' AND k.direction = 'long') OR (w.side = 'low' AND k.direction = 'short'))) AS breaks
+  FROM asked w LEFT JOIN known k ON k.symbol = w.symbol AND floor(k.conf / {LOOKBACK}) = w.block AND k.conf <= w.i AND w.i - k.conf <= {LOOKBACK}
+  GROUP BY w.symbol, w.i, w.side, w.price)
+SELECT symbol, i, side, price, known, breaks,
+       CASE WHEN known = 0 THEN NULL WHEN breaks = 0 THEN 'no_prior_break' WHEN side = 'high' THEN 'prior_break_long' ELSE 'prior_break_short' END AS label FROM near"""
 SQL["sweep_sides_overlap"] = f"""
 WITH {LEVELS}, {SWEEPS}, hi AS (SELECT DISTINCT symbol, i FROM sweeps WHERE side = 'high'), lo AS (SELECT DISTINCT symbol, i FROM sweeps WHERE side = 'low')
 SELECT coalesce(hi.symbol, lo.symbol) AS symbol, count(*) FILTER (WHERE hi.i IS NOT NULL AND lo.i IS NOT NULL) AS both_sides, count(*) FILTER (WHERE lo.i IS NULL) AS high_only, count(*) FILTER (WHERE hi.i IS NULL) AS low_only
 FROM hi FULL OUTER JOIN lo ON hi.symbol = lo.symbol AND hi.i = lo.i GROUP BY coalesce(hi.symbol, lo.symbol)"""
-SQL["known_levels_at"] = f"WITH {LEVELS} SELECT b.symbol, b.i, count(*) AS known, max(v.price) AS highest, min(v.price) AS lowest FROM {{bars_4h}} b JOIN levels v ON v.symbol = b.symbol AND v.creation <= b.i GROUP BY b.symbol, b.i"
+#: Levels whose bar has closed when a 4h bar closes.
+SQL["known_levels_at"] = f"""
+WITH {LEVELS},
+steps AS (
+  SELECT v.symbol, b.close_ms AS at_ms, 0 AS kind, CAST(NULL AS BIGINT) AS i, v.price FROM levels v JOIN {{bars_1h}} b ON b.symbol = v.symbol AND b.i = v.creation
+  UNION ALL SELECT symbol, close_ms AS at_ms, 1 AS kind, i, NULL AS price FROM {{bars_4h}}),
+run AS (
+  SELECT *, count(price) OVER (PARTITION BY symbol ORDER BY at_ms, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS known,
+         max(price) OVER (PARTITION BY symbol ORDER BY at_ms, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS highest,
+         min(price) OVER (PARTITION BY symbol ORDER BY at_ms, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lowest FROM steps)
+SELECT symbol, i, known, highest, lowest FROM run WHERE kind = 1"""

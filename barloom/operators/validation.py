@@ -99,7 +99,7 @@ m AS (SELECT symbol, quantile_cont(ret, 0.5) AS med, count(ret) AS k FROM r GROU
 d AS (SELECT r.symbol, quantile_cont(abs(ret - med), 0.5) AS mad FROM r JOIN m ON r.symbol = m.symbol GROUP BY r.symbol)
 SELECT r.symbol, r.i, r.open_ms, round(0.6745 * abs(ret - med) / mad, 6) AS score
 FROM r JOIN m ON r.symbol = m.symbol JOIN d ON r.symbol = d.symbol
-WHERE k >= 4 AND mad > 0 AND 0.6745 * abs(ret - med) / mad > 2.5"""
+WHERE k >= 5 AND mad > 0 AND 0.6745 * abs(ret - med) / mad > 12"""
 
 SQL["usable_bars"] = """
 SELECT symbol, open_ms, o, h, l, c FROM {bars_5m}

@@ -11,10 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.runtime import cut
 from barloom.sources.frames import FRAMES
 
 #: DuckDB's name -> Spark's.
-_SPARK = {"quantile_cont(": "percentile(", "list_sort(": "array_sort(", "list(": "collect_list(", "skewness(": "skewness(", "bool_and(": "bool_and("}
+_SPARK = {"unnest(generate_series(": "explode(sequence(", "list_extract(": "element_at(", "quantile_cont(": "percentile(", "list_sort(": "array_sort(", "list(": "collect_list(", "skewness(": "skewness(", "bool_and(": "bool_and("}
 _TABLE = re.compile(r"\{(\w+)\}")
 
 
@@ -27,8 +28,12 @@ def spark_query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     for a, b in _SPARK.items():
         text = text.replace(a, b)
 
+    uses = {n: len(re.findall(rf"\{{{n}\}}", sql)) for n in frames_of(sql)}
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(text, **{n: FRAMES[n][0](spark, sf_dir) for n in frames_of(sql)})
+        frames = {n: FRAMES[n][0](spark, sf_dir) for n in uses}
+        # A table that is read several times is made from the ticks once.
+        return spark.sql(text, **{n: cut(f, n) if uses[n] > 2 else f for n, f in frames.items()})
 
     return query
 

@@ -17,14 +17,20 @@ QUOTES = ["USDT", "USDC", "BTC", "ETH", "USD"]
 # -- JSON -----------------------------------------------------------------------
 
 
-def read_candle_json(spark: SparkSession, path: str, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
-    """Candles of JSON arrays, one array a file; a truncated or malformed file fails the job.
-
-    Numbers must be decimals and the flag True or False, or the cast raises. Rows
-    outside [start_ms, end_ms) are left out; of rows with one symbol and open time
-    one stays. ``ohlc_valid`` marks bars whose high and low bound the others.
+def read_candle_json(spark: SparkSession, path: str, start_ms: int | None = None, end_ms: int | None = None, arrays: bool = False) -> DataFrame:
+    """Candles of JSON files with a record a line, or ``arrays``: one array a file. A malformed file fails the job.
+
+    With ``arrays`` a file that is not one whole array fails too, as Spark would
+    read the first record of it alone. Numbers must be decimals and the flag True or
+    False, or the cast raises. Rows outside [start_ms, end_ms) are left out; of rows
+    with one symbol and open time one stays. ``ohlc_valid`` marks bars whose high and
+    low bound the others.
     """
-    raw = spark.read.schema(RECORD).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    raw = spark.read.schema(RECORD).option("multiLine", arrays).option("mode", "FAILFAST").json(path)
+    if arrays:
+        whole = F.col("value").rlike(r"(?s)^\s*\[.*\]\s*$")
+        broken = spark.read.option("wholetext", True).text(path).where(~whole).select(F.raise_error(F.lit("a file is not one JSON array")).cast("string").alias("symbol"))
+        raw = raw.unionByName(broken, allowMissingColumns=True)
     if start_ms is not None:
         raw = raw.where(F.col("open_time") >= start_ms)
     if end_ms is not None:
@@ -118,9 +124,7 @@ def split_symbol(symbol: str) -> tuple[Column, Column]:
 def candle_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "candle-json")
     write_candle_json(FRAMES["candles_1h"][0](spark, sf_dir), path)
-    # The files hold a record a line, which the array reader takes too.
-    raw = spark.read.schema(RECORD).option("mode", "FAILFAST").json(path)
-    return raw.select("symbol", F.col("open_time").alias("open_ms"), F.col("close").cast("decimal(18,2)").alias("close"), F.col("volume").cast("long").alias("volume"))
+    return read_candle_json(spark, path).select("symbol", "open_ms", "close", "volume")
 
 
 def candle_store_range(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("cast(date_diff(o_orderdate, date'1970-01-01') as bigint)").alias("entry_day"),
         F.expr("cast(date_diff(l_shipdate, date'1970-01-01') as bigint)").alias("exit_day"),
         F.expr("cast(year(o_orderdate) * 12 + month(o_orderdate) - 1 as bigint)").alias("entry_month"),
+        F.expr("cast(year(l_shipdate) * 12 + month(l_shipdate) - 1 as bigint)").alias("exit_month"),
         u("l_extendedprice").alias("notional_u"),
         u("l_extendedprice * (l_discount - 0.05d)").alias("gross_u"),
         u("l_extendedprice * l_tax * 0.01d").alias("fee_u"),
@@ -106,7 +107,7 @@ LEDGER_SQL = f"""SELECT *, CAST(net_u AS DOUBLE) / CAST(risk_u AS DOUBLE) AS net
   SELECT o_orderpriority AS run_id, l_orderkey AS trade_key, l_partkey AS part_key, l_suppkey AS supp_key, CAST(l_linenumber AS BIGINT) AS line,
     CASE WHEN l_returnflag = 'A' THEN 'short' ELSE 'long' END AS side,
     date_diff('day', TIMESTAMP '1970-01-01', o_orderdate) AS entry_day, date_diff('day', TIMESTAMP '1970-01-01', l_shipdate) AS exit_day,
-    CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS BIGINT) AS entry_month,
+    CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS BIGINT) AS entry_month, CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1 AS BIGINT) AS exit_month,
     {_u('l_extendedprice')} AS notional_u, {_u('l_extendedprice * (l_discount - 0.05::DOUBLE)')} AS gross_u,
     {_u('l_extendedprice * l_tax * 0.01::DOUBLE')} AS fee_u, {_u('l_extendedprice * 0.0002::DOUBLE')} AS spread_u, {_u('l_extendedprice * 0.0001::DOUBLE')} AS slip_u,
     {_u('l_quantity * 20')} AS risk_u, l_linestatus AS exit_reason, o_orderstatus AS regime
