@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: Spark's own default, and rows of a batch of texts.
-DEFAULT, ROWS = "10000", "1000"
-_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark's own default, and bytes of a batch of texts.
+DEFAULT, BYTES = "67108864b", "4194304b"
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts are long: at Spark's default a batch and its copies take hundreds of MB of a worker. A setting of the user's stays."""
+    """At Spark's default a batch of texts and its copies take hundreds of MB of a worker. A setting of the user's stays."""
     if spark.conf.get(_SETTING, DEFAULT) == DEFAULT:
-        spark.conf.set(_SETTING, ROWS)
+        spark.conf.set(_SETTING, BYTES)
