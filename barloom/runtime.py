@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
+#: Bytes of a row group of a cut table: a task holds one whole, whether it writes or reads it.
+ROW_GROUP = 16 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share (``spark.checkpoint.dir``).
@@ -52,7 +55,7 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 def cut_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
