@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from barloom.llm.bpe import op5_bpe
+from barloom.llm.conversation_trie import ORACLE_SQL as OP13_SQL
+from barloom.llm.conversation_trie import op13_conversation_trie
 from barloom.llm.embedding_dedup import op7_embedding_dedup
 from barloom.llm.licenses import op2_licenses
 from barloom.llm.multiset_hash import ORACLE_SQL as OP11_SQL
@@ -32,5 +34,6 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_fingerprints": op11_fingerprints,
     "op12_source_divergence": op12_source_divergence,
+    "op13_conversation_trie": op13_conversation_trie,
 }
-ORACLES: dict[str, str] = {"op9_warc": OP9_SQL, "op11_fingerprints": OP11_SQL, "op12_source_divergence": OP12_SQL} | SQL_ORACLES
+ORACLES: dict[str, str] = {"op9_warc": OP9_SQL, "op11_fingerprints": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_conversation_trie": OP13_SQL} | SQL_ORACLES
