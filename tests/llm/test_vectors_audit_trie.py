@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -90,7 +91,7 @@ def test_likeness_follows_what_is_shared(spark):
 
 def test_order_of_paragraphs_does_not_matter(docs):
     by_id = {(r["id"], r["n_chars"]): r["vector"] for r in mh.fingerprint_edits(docs).collect()}
-    assert by_id[5, 19] == by_id[13, 18] and len(set(map(tuple, by_id.values()))) == len(by_id) - 2  # two empty, two reordered
+    assert by_id[5, 18] == by_id[13, 17] and len(set(map(tuple, by_id.values()))) == len(by_id) - 2  # two empty, two reordered
 
 
 # -- source audit --------------------------------------------------------------
@@ -163,7 +164,7 @@ def tree(turns, every=20, most=4):
     seqs = {}
     for c, own in convs.items():
         h = zlib.crc32(str(c).encode()) % most
-        seqs[c] = tuple(convs.get(c - c % every, [])[:h] + own[h:])
+        seqs[c] = tuple(convs.get(c - int(math.fmod(c, every)), [])[:h] + own[h:])
     members = defaultdict(list)
     for c in sorted(seqs):
         for d in range(len(seqs[c]) + 1):
