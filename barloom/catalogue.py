@@ -7,6 +7,7 @@ from barloom.plans import backtest, portfolio
 from barloom.plans.sql import register
 from barloom.sources import files
 from barloom.streaming import candles as streaming
+from barloom.streaming import carried
 
 FLAGSHIP = "swings_4h"
 QUERIES, ORACLES = {}, {}
@@ -14,6 +15,6 @@ for _module in (validation, indicators, structure, events, joins, ledger_stats):
     _queries, _oracles = register(_module.SQL)
     QUERIES |= _queries
     ORACLES |= _oracles
-for _module in (folds, setups, simulation, backtest, portfolio, streaming, files):
+for _module in (folds, setups, simulation, backtest, portfolio, streaming, carried, files):
     QUERIES |= _module.QUERIES
-ORACLES |= streaming.ORACLES | files.ORACLES
+ORACLES |= streaming.ORACLES | carried.ORACLES | files.ORACLES
