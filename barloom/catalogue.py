@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.operators import events, folds, indicators, joins, ledger_stats, setups, simulation, structure, validation
+from barloom.operators import audits, events, folds, indicators, joins, ledger_stats, resampling, setups, simulation, structure, validation
 from barloom.plans import backtest, portfolio
 from barloom.plans.sql import register
 from barloom.sources import files
@@ -15,6 +15,6 @@ for _module in (validation, indicators, structure, events, joins, ledger_stats):
     _queries, _oracles = register(_module.SQL)
     QUERIES |= _queries
     ORACLES |= _oracles
-for _module in (folds, setups, simulation, backtest, portfolio, streaming, carried, files):
+for _module in (folds, setups, simulation, backtest, portfolio, streaming, carried, audits, resampling, files):
     QUERIES |= _module.QUERIES
-ORACLES |= streaming.ORACLES | carried.ORACLES | files.ORACLES
+ORACLES |= streaming.ORACLES | carried.ORACLES | audits.ORACLES | resampling.ORACLES | files.ORACLES

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.runtime import prefix_sums
@@ -54,14 +54,16 @@ def replicates(rows: DataFrame, resamples: int, seed: int) -> DataFrame:
 
 
 def bootstrap_mean(values: DataFrame, group: str, value: str, key: str, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    """(group, n, mean, low, high, p_value): a 95 % percentile interval of the mean and its two-sided p-value."""
+    """(group, n, mean, low, high, p_value): a 95 % percentile interval of the mean and its two-sided p-value.
+
+    p is (extreme + 1) / (resamples + 1), as in :func:`paired_difference`.
+    """
     rows = values.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"), F.col(key).cast("long").alias("k")).where("x is not null")
     point = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
-    spread = replicates(rows, resamples, seed).groupBy("g").agg(
-        F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"),
-        F.count_if(F.col("m") <= 0).alias("below"), F.count_if(F.col("m") >= 0).alias("above"),
+    spread = replicates(rows, resamples, seed).join(point.select("g", "mean"), "g").groupBy("g").agg(
+        F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count_if(F.abs("m") >= F.abs("mean")).alias("extreme")
     )
-    p = F.least(F.lit(1.0), 2.0 * (F.least("below", "above") + 1) / F.lit(resamples + 1))
+    p = F.when(F.col("n") >= 2, (F.col("extreme") + 1) / F.lit(resamples + 1))
     return point.join(spread, "g").select(F.col("g").alias(group), "n", "mean", "low", "high", p.alias("p_value"))
 
 
@@ -111,23 +113,18 @@ def paired_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def false_discovery(tests: DataFrame, p: str, order: list[str]) -> DataFrame:
-    """``tests`` with q: the Benjamini-Hochberg adjusted p-values; null p-values are not tests.
+    """``tests`` with q: the Benjamini-Hochberg adjusted p-values, ties by ``order``.
 
-    There is a row for each cell that was tested, whatever the trades.
+    A p-value that is null or outside (0, 1] is no test: it keeps its row, with a null
+    q, and does not count. There is a row for each cell that was tested, whatever the
+    trades, so one task ranks them.
     """
-    from pyspark.sql import Window
-
-    ranked = tests.where(F.col(p).isNotNull()).withColumns({"k": F.row_number().over(Window.orderBy(p, *order)), "m": F.count("*").over(Window.partitionBy())})
-    later = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("m") / F.col("k")).over(later))).drop("k", "m")
-
-
-def benjamini_hochberg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bootstrap p-values of the mean R of each run, regime and side, adjusted together."""
-    trades = FRAMES["ledger"][0](spark, sf_dir)
-    key = F.xxhash64("trade_key", "line", "part_key", "supp_key", "net_u", "notional_u")
-    cells = bootstrap_mean(trades.withColumns({"key": key, "cell": F.concat_ws("/", "run_id", "regime", "side")}), "cell", "net_r", "key")
-    return false_discovery(cells.select("cell", "n", "mean", "p_value"), "p_value", ["cell"])
+    valid = F.coalesce((F.col(p) > 0) & (F.col(p) <= 1), F.lit(False))
+    alike = Window.partitionBy("__valid")
+    ranked = tests.withColumn("__valid", valid).withColumns({"__rank": F.row_number().over(alike.orderBy(p, *order)), "__tests": F.count("*").over(alike)})
+    later = alike.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("__tests") / F.col("__rank")).over(later))
+    return ranked.withColumn("q", F.when(F.col("__valid"), q)).drop("__valid", "__rank", "__tests")
 
 
 def monte_carlo_paths(spark: SparkSession, sf_dir: str, paths: int = 200, block: int = 10, fraction: float = 0.001) -> DataFrame:
@@ -155,4 +152,4 @@ def monte_carlo_paths(spark: SparkSession, sf_dir: str, paths: int = 200, block:
     )
 
 
-QUERIES = {"benjamini_hochberg": benjamini_hochberg, "bootstrap_runs": bootstrap_runs, "clustered_bootstrap_runs": clustered_bootstrap_runs, "paired_sides": paired_sides, "monte_carlo_paths": monte_carlo_paths}
+QUERIES = {"bootstrap_runs": bootstrap_runs, "clustered_bootstrap_runs": clustered_bootstrap_runs, "paired_sides": paired_sides, "monte_carlo_paths": monte_carlo_paths}
