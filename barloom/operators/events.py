@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from barloom.operators.indicators import _BY, RANKED, TR, WARM_UP, before, last, over
-from barloom.operators.structure import LEVELS, SHIFTS, SWEEPS, swings_sql
+from barloom.operators.structure import BREAKS, LABELS, LEVELS, SHIFTS, SWEEPS, swings_sql
 
 SQL: dict[str, str] = {}
 
@@ -65,9 +65,18 @@ SQL["supply_demand_zones"] = f"WITH {DISPLACEMENT}, {swings_sql('bars_1h', 3)},
 _WIDER = swings_sql("bars_1h")
 for _name in ("pivots", "found", "swings"):
     _WIDER = _WIDER.replace(_name, f"wider_{_name}")
+_STRUCTURE = ", ".join(x.replace("FROM swings", "FROM wider_swings").replace("JOIN swings", "JOIN wider_swings") for x in (LABELS, BREAKS, SHIFTS))
+#: Structure events in one form: their direction is told, and kept apart from what happened.
+SQL["structure_events"] = f"""
+WITH {swings_sql('bars_1h')}, {LABELS}, {BREAKS}, {SHIFTS},
+every AS (
+  SELECT symbol, i, conf, label AS event_type, price, NULL AS broken_level, NULL AS penetration, lag(label) OVER (PARTITION BY symbol ORDER BY s) AS previous_state, label AS new_state, NULL AS direction FROM labelled WHERE label IS NOT NULL
+  UNION ALL SELECT symbol, i, conf, 'BOS' AS event_type, price, broken_level, penetration, NULL AS previous_state, NULL AS new_state, direction FROM breaks
+  UNION ALL SELECT symbol, i, conf, 'structure_shift' AS event_type, price, NULL AS broken_level, NULL AS penetration, previous_state, new_state, NULL AS direction FROM shifts)
+SELECT e.*, b.c AS confirmation_close, b.close_ms AS confirmation_ms FROM every e JOIN {{bars_1h}} b ON b.symbol = e.symbol AND b.i = e.conf"""
 #: Every detector's events in one order: by the bar at which they are known, then by kind, side and first bar.
 SQL["events_union"] = f"""
-WITH {DISPLACEMENT}, {REGIMES.removeprefix(VOL + ',')}, {TIGHT.removeprefix(VOL + ',')}, {RELEASES}, {LEVELS}, {SWEEPS}, {swings_sql('bars_1h', 3)}, {ZONES}, {_WIDER}, {SHIFTS.replace('FROM swings', 'FROM wider_swings')},
+WITH {DISPLACEMENT}, {REGIMES.removeprefix(VOL + ',')}, {TIGHT.removeprefix(VOL + ',')}, {RELEASES}, {LEVELS}, {SWEEPS}, {swings_sql('bars_1h', 3)}, {ZONES}, {_WIDER}, {_STRUCTURE},
 turns AS (SELECT *, lag(state) {over()} AS was FROM marked),
 grown AS (SELECT symbol, i, n, round(vol20 / nullif(lag(vol20, 20) {over()}, 0), 9) AS ratio FROM vols),
 every AS (
@@ -77,6 +86,8 @@ every AS (
   UNION ALL SELECT symbol, i AS conf, i, 'regime' AS kind, state AS side, NULL AS price FROM turns WHERE was IS NOT NULL AND was <> state
   UNION ALL SELECT symbol, release_i AS conf, coil_i AS i, 'compression' AS kind, NULL AS side, NULL AS price FROM releases
   UNION ALL SELECT symbol, conf, i, 'structure_shift' AS kind, new_state AS side, price FROM shifts
+  UNION ALL SELECT symbol, conf, i, 'structure_break' AS kind, direction AS side, price FROM breaks
+  UNION ALL SELECT symbol, conf, i, 'structure_label' AS kind, label AS side, price FROM labelled WHERE label IS NOT NULL
   UNION ALL SELECT symbol, conf, i, 'zone' AS kind, zone_kind AS side, zone_high AS price FROM zones)
 SELECT symbol, conf, i, kind, side, price, row_number() OVER (PARTITION BY symbol ORDER BY conf, kind, coalesce(side, ''), i, coalesce(price, 0)) AS seq FROM every"""
 

@@ -6,6 +6,8 @@ a symbol, never its ticks.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -88,28 +90,44 @@ def non_overlapping(events: DataFrame, gap: int = 12) -> DataFrame:
     return events.select("symbol", "conf").groupBy("symbol").applyInPandas(fold, "symbol string, conf long")
 
 
-def clustered_levels(swings: DataFrame) -> DataFrame:
-    """(symbol, kind, bucket, price, members, created): swings joined to the earliest bucket of their kind within 0.1 %.
+def bucketed(swings: DataFrame) -> DataFrame:
+    """(symbol, kind, i, conf, price, bucket, anchor, rank): each swing in the earliest bucket of its kind within 0.1 %.
 
-    A bucket's price is that of its first swing; it becomes a level when its second
-    swing is known. Compared in whole cents.
+    Swings go in order of confirmation. A bucket's price is that of its first swing
+    (rank 1). Prices are compared in whole cents; buckets are found by price, not
+    one by one.
     """
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
+        by_price: list[tuple[int, int]] = []
+        members: list[int] = []
         anchors: list[int] = []
-        members: list[list[int]] = []
-        for price, conf in g.sort_values(["conf", "i"])[["price", "conf"]].itertuples(index=False):
+        rows = []
+        g = g.sort_values(["conf", "i"])
+        for price in g["price"]:
             cents = round(price * 100)
-            b = next((b for b, a in enumerate(anchors) if abs(cents - a) * 1000 <= a), None)
-            if b is None:
+            # |cents - a| * 1000 <= a, for a between cents * 1000 / 1001 and cents * 1000 / 999.
+            low, high = -(-cents * 1000 // 1001), cents * 1000 // 999
+            near = by_price[bisect_left(by_price, (low, -1)) : bisect_left(by_price, (high + 1, -1))]
+            b = min((b for _, b in near), default=len(anchors))
+            if b == len(anchors):
                 anchors.append(cents)
-                members.append([conf])
-            else:
-                members[b].append(conf)
-        rows = [(g["symbol"].iloc[0], g["kind"].iloc[0], b, a / 100, len(m), m[1]) for b, (a, m) in enumerate(zip(anchors, members)) if len(m) > 1]
-        return pd.DataFrame(rows, columns=["symbol", "kind", "bucket", "price", "members", "created"])
+                members.append(0)
+                insort(by_price, (cents, b))
+            members[b] += 1
+            rows.append((b, anchors[b] / 100, members[b]))
+        return g.assign(**dict(zip(("bucket", "anchor", "rank"), zip(*rows))))
 
-    return swings.select("symbol", "kind", "i", "conf", "price").groupBy("symbol", "kind").applyInPandas(fold, "symbol string, kind string, bucket long, price double, members long, created long")
+    out = "symbol string, kind string, i long, conf long, price double, bucket long, anchor double, rank long"
+    return swings.select("symbol", "kind", "i", "conf", "price").groupBy("symbol", "kind").applyInPandas(fold, out)
+
+
+def clustered_levels(swings: DataFrame) -> DataFrame:
+    """(symbol, kind, bucket, price, members, created): the buckets of two swings or more; a level from the second on."""
+    found = bucketed(swings).groupBy("symbol", "kind", "bucket", F.col("anchor").alias("price")).agg(
+        F.count("*").alias("members"), F.max(F.when(F.col("rank") == 2, F.col("conf"))).alias("created")
+    )
+    return found.where("members > 1")
 
 
 def zone_lifecycle(zones: DataFrame, bars: DataFrame, max_age: int = 500, strict_reference: bool = False) -> DataFrame:

@@ -74,9 +74,10 @@ def period_levels(name: str, ms: int) -> str:
   UNION ALL SELECT symbol, last_i + 1 AS creation, lo AS price, '{name}_low' AS level_type, 'low' AS side FROM (SELECT *, lead(p) OVER (PARTITION BY symbol ORDER BY p) AS nxt FROM {name}_p) t WHERE nxt IS NOT NULL)"""
 
 
-LEVELS = f"""{RANGE_LEVELS}, {period_levels('day', 86_400_000)}, {period_levels('session', 21_600_000)},
-levels AS (
-  SELECT *, 1 AS specificity FROM range_levels UNION ALL SELECT *, 3 AS specificity FROM day_levels UNION ALL SELECT *, 2 AS specificity FROM session_levels)"""
+LEVEL_PARTS = f"{RANGE_LEVELS}, {period_levels('day', 86_400_000)}, {period_levels('session', 21_600_000)}"
+#: All three kinds are equally specific.
+SIX_LEVELS = " UNION ALL ".join(f"SELECT *, 1 AS specificity FROM {t}_levels" for t in ("range", "day", "session"))
+LEVELS = f"{LEVEL_PARTS}, levels AS ({SIX_LEVELS})"
 
 SQL["range_levels"] = f"WITH {RANGE_LEVELS} SELECT symbol, creation, price, level_type FROM range_levels"
 SQL["day_levels"] = f"WITH {period_levels('day', 86_400_000)} SELECT symbol, creation, price, level_type FROM day_levels"

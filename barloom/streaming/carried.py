@@ -24,8 +24,8 @@ from barloom.runtime import cut, fresh_path
 from barloom.sources.frames import FRAMES
 
 BAR_COLUMNS = ["open_ms", "h", "l", "c"]
-#: Bars of the range levels; the periods of day and session levels, with their rank among levels of one price.
-RANGE, PERIODS = 20, (("day", 86_400_000, 3), ("session", 21_600_000, 2))
+#: Bars of the range levels; the periods of day and session levels; the rank of all these among levels of one price.
+RANGE, PERIODS, RANK = 20, (("day", 86_400_000), ("session", 21_600_000)), 1
 
 
 class Bars(StatefulProcessor):
@@ -114,10 +114,10 @@ class Structure(Bars):
 def levels_at(carry: dict, i: int, bar) -> list[tuple[str, str, float, int]]:
     """(type, side, price, rank) of the levels that bar ``i`` creates: its range's new ends, and the ends of periods that it follows."""
     found = []
-    for name, ms, rank in PERIODS:
+    for name, ms in PERIODS:
         period, now = carry.get(name), int(bar.open_ms) // ms
         if period and period[0] != now:
-            found += [(f"{name}_high", "high", period[1], rank), (f"{name}_low", "low", period[2], rank)]
+            found += [(f"{name}_high", "high", period[1], RANK), (f"{name}_low", "low", period[2], RANK)]
         carry[name] = [now, max(period[1], bar.h), min(period[2], bar.l)] if period and period[0] == now else [now, bar.h, bar.l]
     window = carry.setdefault("range", [])
     window.append([bar.h, bar.l])
@@ -125,7 +125,7 @@ def levels_at(carry: dict, i: int, bar) -> list[tuple[str, str, float, int]]:
     ends = [max(x[0] for x in window), min(x[1] for x in window)]
     for side, price, was in zip(("high", "low"), ends, carry.get("ends", ends)):
         if i == RANGE - 1 or (i >= RANGE and price != was):
-            found.append((f"range_{side}", side, price, 1))
+            found.append((f"range_{side}", side, price, RANK))
     carry["ends"] = ends
     return found
 
