@@ -5,9 +5,9 @@ from __future__ import annotations
 from barloom.operators import audits, events, folds, indicators, joins, ledger_stats, levels, resampling, setups, simulation, structure, validation
 from barloom.plans import backtest, portfolio
 from barloom.plans.sql import register
-from barloom.sources import files
+from barloom.sources import event_log, files
 from barloom.streaming import candles as streaming
-from barloom.streaming import carried
+from barloom.streaming import carried, isolated
 
 FLAGSHIP = "swings_4h"
 QUERIES, ORACLES = {}, {}
@@ -15,6 +15,6 @@ for _module in (validation, indicators, structure, events, joins, ledger_stats):
     _queries, _oracles = register(_module.SQL)
     QUERIES |= _queries
     ORACLES |= _oracles
-for _module in (folds, setups, simulation, backtest, portfolio, streaming, carried, audits, resampling, levels, files):
+for _module in (folds, setups, simulation, backtest, portfolio, streaming, carried, audits, resampling, levels, event_log, isolated, files):
     QUERIES |= _module.QUERIES
-ORACLES |= streaming.ORACLES | carried.ORACLES | audits.ORACLES | resampling.ORACLES | levels.ORACLES | files.ORACLES
+ORACLES |= streaming.ORACLES | carried.ORACLES | audits.ORACLES | resampling.ORACLES | levels.ORACLES | event_log.ORACLES | isolated.ORACLES | files.ORACLES
