@@ -56,13 +56,8 @@ SQL["sma_slope_regime"] = f"""
 WITH s AS (SELECT symbol, i, c, CASE WHEN i >= 49 THEN avg(c) {last(50)} END AS sma FROM {{bars_1h}}),
 d AS (SELECT *, sma - lag(sma, 24) {over()} AS slope FROM s)
 SELECT symbol, i, round(sma, 6) AS sma, round(slope, 6) AS slope, CASE WHEN slope IS NULL THEN NULL WHEN c > sma AND slope > 0 THEN 1 ELSE 0 END AS regime FROM d"""
-#: The share of the last RANKED values below the current one, met by blocks of as many bars.
+#: ATRs that the last one is ranked among, and the first bar with so many behind it.
 RANKED, WARM_UP = 540, 552
-SQL["atr_percent_rank"] = f"""
-WITH t AS (SELECT symbol, i, {TR} AS tr FROM {{bars_1h}}), a AS (SELECT symbol, i, floor(i / {RANKED}) AS block, round(avg(tr) {last(14)}, 9) AS atr FROM t)
-SELECT x.symbol, x.i, count(*) FILTER (WHERE y.atr < x.atr) * 100.0E0 / {RANKED} AS pct
-FROM (SELECT a.*, block - d.k AS asked FROM a JOIN (VALUES (0), (1)) AS d(k) ON true WHERE i >= {WARM_UP}) x
-JOIN a y ON x.symbol = y.symbol AND y.block = x.asked AND y.i > x.i - {RANKED} AND y.i <= x.i GROUP BY x.symbol, x.i"""
 SQL["regime_runs"] = f"""
 WITH s AS (SELECT symbol, i, open_ms, CASE WHEN i >= 19 THEN CASE WHEN c > avg(c) {last(20)} THEN 1 ELSE 0 END ELSE -1 END AS state FROM {{bars_4h}}),
 f AS (SELECT *, CASE WHEN state = lag(state) {over()} THEN 0 ELSE 1 END AS starts FROM s),

@@ -106,14 +106,14 @@ def benjamini_hochberg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return false_discovery(tests, "p_value", ["cell"]).withColumn("q", F.round("q", 9))
 
 
-def bootstrap_sql(kind: str, group: str = "run_id", name: str = "run_id", then: str = "SELECT * FROM found") -> str:
+def bootstrap_body(source: str, name: str, then: str = "SELECT * FROM found") -> str:
+    """The same over rows (g, block, v) of ``source``, as SQL over the base tables."""
     ends = {"m": ("lower", "upper"), "w": ("win_lower", "win_upper"), "f": ("pf_lower", "pf_upper")}
     quantiles = ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {name}" for c, names in ends.items() for q, name in zip((0.025, 0.975), names))
     stats = "(gain + loss)::DOUBLE / n AS m, wins::DOUBLE / n AS w, CASE WHEN loss < 0 THEN gain::DOUBLE / -loss::DOUBLE END AS f, (gain + loss)::DOUBLE AS t"
-    return with_tables(f"""
-WITH sums AS MATERIALIZED (
-  SELECT g, block, row_number() OVER (PARTITION BY g ORDER BY block) - 1 AS k, count(*) AS n, count(*) FILTER (WHERE net_u > 0) AS wins,
-         CAST(sum(greatest(net_u, 0)) AS BIGINT) AS gain, CAST(sum(least(net_u, 0)) AS BIGINT) AS loss FROM (SELECT {group} AS g, {BLOCKS[kind]} AS block, net_u FROM {{ledger}}) GROUP BY g, block),
+    return f"""WITH sums AS MATERIALIZED (
+  SELECT g, block, row_number() OVER (PARTITION BY g ORDER BY block) - 1 AS k, count(*) AS n, count(*) FILTER (WHERE v > 0) AS wins,
+         CAST(sum(greatest(v, 0)) AS BIGINT) AS gain, CAST(sum(least(v, 0)) AS BIGINT) AS loss FROM ({source}) WHERE v IS NOT NULL GROUP BY g, block),
 sizes AS (SELECT g, count(*) AS m FROM sums GROUP BY g),
 drawn AS (SELECT g, r, {_hashed_sql(f"'{SEED}'", 'g', 'CAST(r AS VARCHAR)', 'CAST(k AS VARCHAR)')} % m AS k FROM sums JOIN sizes USING (g), range({RESAMPLES}) x(r)),
 replicas AS (
@@ -124,7 +124,11 @@ tails AS (SELECT replicas.g, count(*) FILTER (WHERE round(abs(replicas.m), 6) >=
 found AS (
 SELECT g AS {name}, n, n_blocks, round(m, 6) AS mean, lower, upper, round(w, 6) AS win_rate, win_lower, win_upper, round(f, 6) AS profit_factor, pf_lower, pf_upper, total, total_lower, total_upper,
        CASE WHEN n >= 2 THEN round((extreme + 1)::DOUBLE / {RESAMPLES + 1}, 9) END AS p_value FROM point JOIN spread USING (g) JOIN tails USING (g))
-{then}""")
+{then}"""
+
+
+def bootstrap_sql(kind: str, group: str = "run_id", name: str = "run_id", then: str = "SELECT * FROM found") -> str:
+    return with_tables(bootstrap_body(f"SELECT {group} AS g, {BLOCKS[kind]} AS block, net_u AS v FROM {{ledger}}", name, then))
 
 
 # -- matched control ----------------------------------------------------------

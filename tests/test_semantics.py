@@ -184,16 +184,6 @@ def test_sweep_context_counts_breaks_of_its_side(spark, dense, swings):
         assert r["breaks"] == want
 
 
-def test_atr_rank_over_540(spark, dense, bars):
-    for s, rows in by_symbol(QUERIES["atr_percent_rank"](spark, dense)).items():
-        b = bars[s]
-        tr = [b[0]["h"] - b[0]["l"], *(max(y["h"] - y["l"], abs(y["h"] - x["c"]), abs(y["l"] - x["c"])) for x, y in zip(b, b[1:]))]
-        atr = [round(sum(tr[max(0, i - 13) : i + 1]) / len(tr[max(0, i - 13) : i + 1]), 9) for i in range(len(b))]
-        assert [r["i"] for r in rows] == list(range(552, len(b)))
-        for r in rows[::9]:
-            assert abs(r["pct"] - 100 * sum(a < atr[r["i"]] for a in atr[r["i"] - 539 : r["i"] + 1]) / 540) < 0.4
-
-
 def test_leaky_alignment_is_caught(spark, dense):
     rows = QUERIES["causality_check"](spark, dense).collect()
     assert all((r["violations"] == 0) == (r["back"] == 1) for r in rows)
