@@ -11,13 +11,15 @@ from barloom.llm.batches import small_batches
 from barloom.llm.textstats import TextStats, training_rows
 from barloom.runtime import cut
 
-BUCKETS = 1 << 15
+#: Bits of a bucket's number.
+BITS = 16
+BUCKETS = 1 << BITS
 #: Labelled ids of each class that the regression is fitted on, at most. A row has 6 bytes for each of its buckets.
 PER_CLASS = 1000
 KEEP_AT = 0.5
 MIN_WORDS = 50
 #: Steps of the fit, and rows that a step takes at once.
-STEPS, CHUNK = 100, 128
+STEPS, CHUNK = 120, 128
 #: Code points of a character gram, and a multiplier for each.
 _GRAM = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
 
@@ -26,14 +28,14 @@ def ngram_buckets(s: TextStats) -> list[np.ndarray]:
     """Buckets of the words, word pairs and 4-character grams (code points, case kept) of a text."""
     h = s.hashes.astype(np.uint64)
     mix = np.uint64(0x9E3779B97F4A7C15)
-    words = (h * mix) >> np.uint64(49)
-    pairs = ((h[:-1] * np.uint64(31) + h[1:] + np.uint64(7)) * mix) >> np.uint64(49)
+    words = (h * mix) >> np.uint64(64 - BITS)
+    pairs = ((h[:-1] * np.uint64(31) + h[1:] + np.uint64(7)) * mix) >> np.uint64(64 - BITS)
     c = s.code_points()
     n = max(0, len(c) - len(_GRAM) + 1)
     grams = np.zeros(n, np.uint32)
     for k, m in enumerate(_GRAM):
         grams += c[k : k + n] * m
-    grams = ((grams ^ (grams >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(17)
+    grams = ((grams ^ (grams >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)
     return [words, pairs, grams]
 
 
