@@ -1,10 +1,31 @@
 """Notices and whole license texts as their authors publish them: fixed values.
 
 Copyright lines, which differ from copy to copy, are left out. Letter case,
-punctuation and line ends do not matter to the scan. A template must not lie within
-another license's words, as those of CC BY would in those of CC BY-SA.
+punctuation and line ends do not matter to the scan.
 """
 
+#: Words in a row that tell a license from its kin: a label needs all phrases of one of its lists somewhere in the text.
+KEYS = {
+    "mit": [["mit license"], ["permission is hereby granted free of charge"]],
+    "isc": [["permission to use copy modify and or distribute this software"]],
+    "bsd": [["redistribution and use in source and binary forms"]],
+    "bsd-2": [["redistribution and use in source and binary forms"]],
+    "bsd-3": [["redistribution and use in source and binary forms", "neither the name"]],
+    "zlib": [["altered source versions must be plainly marked"]],
+    "unlicense": [["free and unencumbered software"]],
+    "apache-2": [["apache license version 2"]],
+    "gpl-2": [["gnu general public license", "version 2"]],
+    "gpl-3": [["gnu general public license", "version 3"]],
+    "agpl-3": [["gnu affero general public license", "version 3"]],
+    "lgpl-3": [["gnu lesser general public license", "version 3"]],
+    "mpl-2": [["mozilla public license"]],
+    "cc-by": [["attribution 4 0"], ["cc by 4 0"]],
+    "cc-by-sa": [["attribution sharealike"], ["cc by sa"]],
+    "cc-by-nc": [["attribution noncommercial 4 0"], ["cc by nc 4 0"]],
+    "cc0": [["waived all copyright"]],
+    "all-rights-reserved": [["all rights reserved"]],
+}
+
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
     ("mit", "Licensed under the MIT License."),
@@ -43,6 +64,23 @@ OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CA
 LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
 DAMAGE."""),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-3", """
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without
+specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""),
     ("zlib", """
 This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the
 use of this software.
@@ -77,16 +115,26 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
 
 You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""),
+    ("gpl-2", """
+This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+Foundation; either version 2 of the License, or (at your option) any later version."""),
+    ("agpl-3", "Licensed under the GNU Affero General Public License, version 3"),
     ("agpl-3", """
 This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free
 Software Foundation, either version 3 of the License, or (at your option) any later version."""),
     ("lgpl-3", "Licensed under the GNU Lesser General Public License, version 3"),
+    ("lgpl-3", """
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free
+Software Foundation, either version 3 of the License, or (at your option) any later version."""),
     ("mpl-2", """
 This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can
 obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("all-rights-reserved", "All rights reserved."),
 ]

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.license_texts import TEMPLATES
+from barloom.llm.license_texts import KEYS, TEMPLATES
 from barloom.runtime import cut
 
 #: Phrases whose words stand consecutively.
@@ -68,20 +68,46 @@ def _sets(templates: list[tuple[str, str]], threshold: float) -> list[tuple[int,
     return out
 
 
+def longer(templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> dict[int, list[int]]:
+    """Template -> the longer ones beside which it says nothing: it lies in their words to the threshold, and their text has its label's key phrases."""
+    sets = _sets(templates, threshold)
+    spaced = [f" {' '.join(re.findall('[0-9a-z]+', text.lower()))} " for _, text in templates]
+    keyed = lambda label, text: any(all(f" {p} " in text for p in phrases) for phrases in KEYS.get(label, [[]]))
+    return {
+        i: [j for j, other, _, theirs, _ in sets if other != label and len(theirs) > len(own) and len(set(own) & set(theirs)) >= need and keyed(label, spaced[j])]
+        for i, label, _, own, need in sets
+    }
+
+
+def _told(w: Column, keys: dict[str, list[list[str]]]) -> Column:
+    """Labels whose key phrases a spaced text has."""
+    def holds(label: str) -> Column:
+        some = F.lit(False)
+        for phrases in keys[label]:
+            every = F.lit(True)
+            for phrase in phrases:
+                every = every & F.contains(w, F.lit(f" {phrase} "))
+            some = some | every
+        return F.when(some, F.lit(label))
+
+    return F.array_compact(F.array(*map(holds, keys))) if keys else F.array().cast("array<string>")
+
+
 def scan_words(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_base, first_word, last_word, base, hits, words), a row for each of ``docs``, written once.
+    """(id, row, n_words, n_base, first_word, last_word, base, told, hits, words), a row for each of ``docs``, written once.
 
-    hits are the templates' words that the text has. words is the whole text in
-    order where it has enough words of some template to hold it anywhere, else null.
+    row numbers the rows, told are the labels whose key phrases the text has, hits
+    the templates' words in it. words is the whole text in order where it has enough
+    words of some template to hold it anywhere, else null.
     """
     sets = _sets(templates, threshold)
     vocabulary = sorted({w for s in sets for w in s[3]})
     spaced = docs.select(F.col(id_col).alias("id"), _spaced(text_col).alias("w"))
     words = F.when(F.length("w") > 2, F.split(F.substring(F.col("w"), F.lit(2), F.length("w") - 2), " ")).otherwise(F.array().cast("array<string>"))
-    split = spaced.select("id", "w", words.alias("words"))
+    split = spaced.select("id", F.monotonically_increasing_id().alias("row"), "w", words.alias("words"))
     n_words = F.size("words").cast("long")
     hits = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))
-    rows = split.select("id", n_words.alias("n_words"), *_places(F.col("w"), n_words, phrases), hits.alias("hits"), "words")
+    rows = split.select("id", "row", n_words.alias("n_words"), *_places(F.col("w"), n_words, phrases), _told(F.col("w"), KEYS).alias("told"), hits.alias("hits"), "words")
     # Any |T| - need + 1 words of a template: a text without all of these does not hold it. Long words are rarest.
     probes = sorted({w for _, _, _, own, need in sets for w in sorted(own, key=lambda w: (-len(w), w))[: len(own) - need + 1]})
     held = F.lit(False)
@@ -92,7 +118,7 @@ def scan_words(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, ph
 
 
 def template_blocks(scanned: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, block, label, containment): the blocks of words that hold at least ``threshold`` of a template's distinct words.
+    """(row, block, template, label, containment): the blocks of words that hold at least ``threshold`` of a template's distinct words.
 
     A template of n words is looked for in blocks of ``2 * step_of(n)`` words, which
     overlap by half, so that no stretch of n words is cut; where lines end does not
@@ -116,23 +142,23 @@ def template_blocks(scanned: DataFrame, templates: list[tuple[str, str]] = TEMPL
     prefix = spark.createDataFrame(rows, "step int, rank int, template int, label string, at int, ranks array<int>, need int")
     uses = spark.createDataFrame([(w, order[w], [s for s in sorted(steps) if order[w] in steps[s]]) for w in vocabulary], "known string, rank int, steps array<int>")
 
-    texts = scanned.where("words is not null").select("id", F.monotonically_increasing_id().alias("row"), "words")
-    found = texts.select("id", "row", F.posexplode("words").alias("pos", "word")).join(F.broadcast(uses), F.col("word") == F.col("known"))
+    texts = scanned.where("words is not null").select("row", "words")
+    found = texts.select("row", F.posexplode("words").alias("pos", "word")).join(F.broadcast(uses), F.col("word") == F.col("known"))
     # Each word lies in two blocks of each step, the first word of a text in one.
-    in_steps = found.select("id", "row", "pos", "rank", F.explode("steps").alias("step"))
+    in_steps = found.select("row", "pos", "rank", F.explode("steps").alias("step"))
     last = F.floor(F.col("pos") / F.col("step")).cast("int")
-    placed = in_steps.select("id", "row", "step", F.explode(F.sequence(F.greatest(F.lit(0), last - 1), last)).alias("block"), "rank")
-    blocks = placed.groupBy("id", "row", "step", "block").agg(F.array_sort(F.collect_set("rank")).alias("own"))
+    placed = in_steps.select("row", "step", F.explode(F.sequence(F.greatest(F.lit(0), last - 1), last)).alias("block"), "rank")
+    blocks = placed.groupBy("row", "step", "block").agg(F.array_sort(F.collect_set("rank")).alias("own"))
 
-    probes = blocks.select("id", "step", "block", "own", F.posexplode("own").alias("pos", "rank"))
+    probes = blocks.select("row", "step", "block", "own", F.posexplode("own").alias("pos", "rank"))
     later = F.least(F.size("ranks") - F.col("at"), F.size("own") - F.col("pos"))
     held = F.size(F.array_intersect("own", "ranks"))
     return (
         probes.join(F.broadcast(prefix), ["step", "rank"])
         .where((F.size("own") >= F.col("need")) & (F.least("at", "pos") + later >= F.col("need")))
-        .select("id", "block", "template", "label", "need", held.alias("held"), (held / F.size("ranks")).alias("containment"))
+        .select("row", "block", "template", "label", "need", held.alias("held"), (held / F.size("ranks")).alias("containment"))
         .where(F.col("held") >= F.col("need"))
-        .select("id", "block", "template", "label", "containment").distinct()
+        .select("row", "block", "template", "label", "containment").distinct()
     )
 
 
@@ -141,20 +167,31 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
     Words are runs of 0-9, a-z (A-Z lower-cased) and non-ASCII characters of the
     whole text. base_labels are those of the phrases found, labels also those of
-    template blocks, both distinct, sorted and comma-joined. score is 1 with a
-    phrase, else the largest containment of a template block, else 0. Null and
-    empty texts have no words. Rows that share an id share its blocks' labels;
-    other columns are left out.
+    template blocks, both distinct, sorted and comma-joined. A label of blocks needs
+    its key phrases somewhere in the text, as a set of words does not tell the GPL
+    from the LGPL, and a template says nothing beside a longer one of another label
+    that holds it. score is 1 with a phrase, else the largest containment of a
+    template block that counts, else 0. Null and empty texts have no words. Rows
+    that share an id keep labels of their own; other columns are left out.
     """
     scanned = scan_words(docs, templates, id_col=id_col, text_col=text_col)
-    found = template_blocks(scanned, templates).groupBy(F.col("id").alias("found_id")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("most"))
-    joined = scanned.drop("hits", "words").join(found, F.col("id").eqNullSafe(F.col("found_id")), "left")
-    empty = F.array().cast("array<string>")
-    return joined.select(
+    best = template_blocks(scanned, templates).groupBy("row", "template", "label").agg(F.max("containment").alias("containment"))
+    per_row = best.groupBy("row").agg(F.collect_list(F.struct("template", "label", "containment")).alias("found"))
+    joined = scanned.drop("hits", "words").join(per_row, "row", "left")
+    keyed = F.array(*map(F.lit, KEYS))
+    told = F.filter(
+        F.coalesce("found", F.array().cast("array<struct<template:int,label:string,containment:double>>")),
+        lambda x: F.array_contains("told", x["label"]) | ~F.array_contains(keyed, x["label"]),
+    )
+    rows = joined.withColumn("found", told).withColumn("templates", F.transform("found", lambda x: x["template"]))
+    above = F.array(*[F.array(*map(F.lit, over)).cast("array<int>") for over in longer(templates).values()])
+    rows = rows.withColumn("found", F.filter("found", lambda x: ~F.arrays_overlap(F.get(above, x["template"]), F.col("templates"))))
+    labels = F.array_distinct(F.concat("base", F.transform("found", lambda x: x["label"])))
+    most = F.array_max(F.transform("found", lambda x: x["containment"]))
+    return rows.select(
         "id", "n_words", "n_base", "first_word", "last_word",
-        F.array_join(F.array_sort("base"), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base", F.coalesce("found", empty))), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("most", F.lit(0.0))).alias("score"),
+        F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(F.array_sort(labels), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(most, F.lit(0.0))).alias("score"),
     )
 
 

@@ -6,8 +6,8 @@ import math
 import re
 
 from barloom.llm.embedding_dedup import THRESHOLD as NEAR
-from barloom.llm.license_texts import TEMPLATES
-from barloom.llm.licenses import PHRASES, THRESHOLD, step_of
+from barloom.llm.license_texts import KEYS, TEMPLATES
+from barloom.llm.licenses import PHRASES, THRESHOLD, longer, step_of
 
 _WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
@@ -20,30 +20,35 @@ def licenses_sql() -> str:
     """Every block of every text against every template, and every place of every phrase."""
     phrases = ", ".join(f"({_list(p.split())}, '{label}')" for p, label in PHRASES.items())
     rows = []
-    for label, text in TEMPLATES:
+    above = longer(TEMPLATES)
+    for i, (label, text) in enumerate(TEMPLATES):
         words = re.findall("[0-9a-z]+", text.lower())
         own = sorted(set(words))
-        rows.append(f"({_list(own)}, '{label}', {step_of(len(words))}, {math.ceil(THRESHOLD * len(own) - 1e-9)})")
+        rows.append(f"({i}, {above[i] or '[-1]'}, {_list(own)}, '{label}', {step_of(len(words))}, {math.ceil(THRESHOLD * len(own) - 1e-9)})")
+    keys = " ".join(
+        f"WHEN label = '{label}' THEN " + " OR ".join("(" + " AND ".join(f"contains(t, ' {p} ')" for p in ps) + ")" for ps in lists) for label, lists in KEYS.items()
+    )
     return f"""
-WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-w AS (SELECT doc_id, regexp_extract_all(t, {_WORDS}) AS w FROM d),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS MATERIALIZED (SELECT r, doc_id, regexp_extract_all(t, {_WORDS}) AS w FROM d),
 phrases(ws, label) AS (VALUES {phrases}),
 places AS (
-  SELECT doc_id, label, list_filter(range(0, greatest(0, len(w) - len(ws) + 1)), lambda i: w[i + 1 : i + len(ws)] = ws) AS places FROM w, phrases),
+  SELECT r, label, list_filter(range(0, greatest(0, len(w) - len(ws) + 1)), lambda i: w[i + 1 : i + len(ws)] = ws) AS places FROM w, phrases),
 base AS (
-  SELECT doc_id, CAST(sum(len(places)) AS BIGINT) AS n_base, min(list_min(places)) AS first_word, max(list_max(places)) AS last_word,
-         coalesce(list(DISTINCT label) FILTER (WHERE len(places) > 0), []) AS base FROM places GROUP BY doc_id),
-templates(ws, label, step, need) AS (VALUES {', '.join(rows)}),
+  SELECT r, CAST(sum(len(places)) AS BIGINT) AS n_base, min(list_min(places)) AS first_word, max(list_max(places)) AS last_word,
+         coalesce(list(DISTINCT label) FILTER (WHERE len(places) > 0), []) AS base FROM places GROUP BY r),
+templates(i, above, ws, label, step, need) AS (VALUES {', '.join(rows)}),
 blocks AS (
-  SELECT doc_id, label, need, len(ws) AS n,
+  SELECT r, i, above, label, need, len(ws) AS n, concat(' ', array_to_string(w, ' '), ' ') AS t,
          list_max([len(list_intersect(w[k * step + 1 : (k + 2) * step], ws)) for k in range(0, (len(w) - 1) // step + 1)]) AS held FROM w, templates WHERE len(w) >= need),
+met AS MATERIALIZED (SELECT r, i, above, label, CAST(held AS DOUBLE) / n AS share FROM blocks WHERE held >= need AND CASE {keys} ELSE true END),
 found AS (
-  SELECT doc_id, list(DISTINCT label) AS found, max(CAST(held AS DOUBLE) / n) AS most FROM blocks WHERE held >= need GROUP BY doc_id)
+  SELECT r, list(DISTINCT label) AS found, max(share) AS most FROM met WHERE NOT EXISTS (SELECT 1 FROM met o WHERE o.r = met.r AND list_contains(met.above, o.i)) GROUP BY r)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, n_base, first_word, last_word,
        array_to_string(list_sort(base), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(base, coalesce(found, [])))), ',') AS labels,
        CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(most, 0.0::DOUBLE) END AS score
-FROM w JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)"""
+FROM w JOIN base USING (r) LEFT JOIN found USING (r)"""
 
 
 def embeddings_sql() -> str:

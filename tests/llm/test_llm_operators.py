@@ -109,9 +109,10 @@ def test_dense_family_links_by_blocks(spark, monkeypatch):
 def test_licenses(docs, none):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    labels_by_id: dict = {}
+    above = licenses.longer(licenses.TEMPLATES)
     want = []
     for i, t in TEXTS:
+        met = {}
         t = (t or "").translate(table)
         words, places, base = word.findall(t), [], set()
         for p, label in licenses.PHRASES.items():
@@ -120,19 +121,37 @@ def test_licenses(docs, none):
                 if words[k : k + len(p)] == p:
                     places.append(k)
                     base.add(label)
-        for label, template in licenses.TEMPLATES:
+        spaced = f" {' '.join(words)} "
+        for number, (label, template) in enumerate(licenses.TEMPLATES):
             listed = re.findall("[0-9a-z]+", template.lower())
             own, step = set(listed), licenses.step_of(len(listed))
             if any(len(own & set(words[k : k + 2 * step])) >= math.ceil(licenses.THRESHOLD * len(own) - 1e-9) for k in range(0, len(words), step)):
-                labels_by_id.setdefault(i, set()).add(label)
-        want.append((i, len(words), len(places), min(places, default=None), max(places, default=None), base))
+                if any(all(f" {p} " in spaced for p in ps) for ps in licenses.KEYS[label]):
+                    met[number] = label
+        labels = base | {label for number, label in met.items() if not set(above[number]) & set(met)}
+        want.append((i, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels))))
     got = rows_of(licenses.scan_licenses(docs))
-    expected = sorted(((*w[:5], ",".join(sorted(w[5])), ",".join(sorted(w[5] | labels_by_id.get(w[0], set())))) for w in want), key=repr)
-    assert sorted((g[:7] for g in got), key=repr) == expected
+    assert sorted((g[:7] for g in got), key=repr) == sorted(want, key=repr)
     assert all(0 <= g[7] <= 1 for g in got)
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_every_notice_has_its_own_label_only(spark):
+    """Each template, alone and in other words; repeated ids keep the labels of their own texts."""
+    texts = [*licenses.TEMPLATES, *((label, f"some words before\n{text}\nand more words after it, none of a license") for label, text in licenses.TEMPLATES)]
+    texts += [
+        ("", "This program is free software under version 3 of something else"), ("", "all the rights of the reserved kind"), ("", "the mit has a license under which released"),
+        ("gpl-3,lgpl-3", "Licensed under the GNU General Public License, version 3. Parts are licensed under the GNU Lesser General Public License, version 3."),
+        ("all-rights-reserved,bsd-3", dict(licenses.TEMPLATES)["bsd-3"] + " All rights reserved."), ("", None),
+    ]
+    rows = [(7, text) for _, text in texts]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, at long")
+    got = licenses.scan_licenses(df.withColumn("doc_id", F.col("at") % 3), templates=licenses.TEMPLATES)
+    by_at = licenses.scan_licenses(df, id_col="at").collect()
+    assert {r["id"]: r["labels"] for r in by_at} == {k: label for k, (label, _) in enumerate(texts)}
+    assert sorted(r["labels"] for r in got.collect()) == sorted(label for label, _ in texts)
+
+
 def test_wrapped_notices_are_found(spark):
     whole = {label: text for label, text in licenses.TEMPLATES}
     texts = ["// " + "\n// ".join(textwrap.wrap(" ".join(t.split()), 60)) for t in whole.values()]
