@@ -61,6 +61,18 @@ FROM based z JOIN {{bars_1h}} b ON b.symbol = z.symbol AND b.i < z.i AND b.i >=
 GROUP BY z.symbol, z.i, z.conf, z.direction, z.pivot_i HAVING max(b.h) > min(b.l))"""
 SQL["supply_demand_zones"] = f"WITH {DISPLACEMENT}, {swings_sql('bars_1h', 3)}, {ZONES} SELECT * FROM zones"
 
+#: Bars after a zone is known over which it is measured.
+MEASURED = 24
+#: Depth runs from 0 at the far edge to 1 at the near one for the wick and the close alike: a wick beyond the band counts as
+#: at its edge, one that does not reach it has none, and a close outside the band has depth 0.
+SQL["zone_measures"] = f"""
+WITH {DISPLACEMENT}, {swings_sql('bars_1h', 3)}, {ZONES},
+seen AS (SELECT z.*, b.i AS at_i, b.h, b.l, b.c, zone_high - zone_low AS height FROM (SELECT zones.*, conf + v.k AS next_i FROM zones JOIN (VALUES {', '.join(f'({k})' for k in range(1, MEASURED + 1))}) AS v(k) ON true) z
+  JOIN {{bars_1h}} b ON b.symbol = z.symbol AND b.i = z.next_i)
+SELECT symbol, i, zone_kind, at_i, at_i - i AS age, round(height, 2) AS height, round(CASE WHEN c > zone_high THEN c - zone_high WHEN c < zone_low THEN c - zone_low ELSE 0E0 END, 2) AS distance,
+  round(CASE WHEN zone_kind = 'supply' THEN CASE WHEN h >= zone_low THEN (zone_high - least(h, zone_high)) / height END ELSE CASE WHEN l <= zone_high THEN (greatest(l, zone_low) - zone_low) / height END END, 6) AS wick_depth,
+  round(CASE WHEN c < zone_low OR c > zone_high THEN 0E0 WHEN zone_kind = 'supply' THEN (zone_high - c) / height ELSE (c - zone_low) / height END, 6) AS close_depth FROM seen"""
+
 #: The swings of structure shifts, beside the narrower ones of zones.
 _WIDER = swings_sql("bars_1h")
 for _name in ("pivots", "found", "swings"):

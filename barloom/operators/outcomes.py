@@ -50,6 +50,18 @@ SELECT symbol, i, open_ms, round(mean, 6) AS sma, round(slope, 6) AS slope, pct,
 SQL["regime_4h"] = regime_sql()
 SQL["atr_percent_rank"] = f"SELECT symbol, i, pct FROM ({regime_sql()}) r"
 
+def decile_sql(pct: str) -> str:
+    """The tenth of 100 that a percentage lies in, as text; 100 and more belong to the last, null, NaN and less than 0 are unknown."""
+    tenth = f"CAST(floor({pct} / 10) AS INTEGER)"
+    return f"""CASE WHEN {pct} IS NULL OR isnan({pct}) OR {pct} < 0 THEN 'unknown' WHEN {pct} >= 100 THEN '90-100' ELSE concat(CAST({tenth} * 10 AS VARCHAR(3)), '-', CAST(({tenth} + 1) * 10 AS VARCHAR(3))) END"""
+
+
+#: Bars by the decile of their true range among those of their symbol, with the move to the next close.
+SQL["range_deciles"] = f"""
+WITH t AS (SELECT symbol, i, h - l AS size, lead(c) OVER (PARTITION BY symbol ORDER BY i) - c AS move FROM {{bars_1h}}),
+p AS (SELECT symbol, move, 100 * percent_rank() OVER (PARTITION BY symbol ORDER BY round(size, 2)) AS pct FROM t)
+SELECT symbol, {decile_sql('pct')} AS decile, count(*) AS bars, count(move) AS moves, round(avg(abs(move)), 6) AS mean_move FROM p GROUP BY symbol, {decile_sql('pct')}"""
+
 # -- outcomes -----------------------------------------------------------------
 
 #: Multiple of the mean true range of so many bars, share of the entry, and bars that a barrier is waited for.

@@ -15,7 +15,10 @@ ENVELOPE = "symbol string, seq long, kind string, conf long, i long, side string
 _FIELDS = [c.split()[0] for c in ENVELOPE.split(", ")]
 _NEEDED = ["symbol", "seq", "kind", "conf", "i", "payload"]
 #: Kind of event -> what its payload holds; any other kind has a price.
-PAYLOADS = {"sweep": "price double, level_type string, penetration double, recovery_ratio double, wick_ratio double, volume long"}
+PAYLOADS = {
+    "sweep": "price double, level_type string, penetration double, recovery_ratio double, wick_ratio double, volume long",
+    "zone": "price double, zone_low double, pivot_i long",
+}
 _PLAIN = "price double"
 
 
@@ -102,10 +105,11 @@ def funnel(sweeps: DataFrame) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event, with the measures of sweeps."""
+    """Every event, with the measures of sweeps and the bands of zones."""
     events = spark_query(EVENTS["events_union"])(spark, sf_dir)
     measures = spark_query(STRUCTURE["sweep_measures"])(spark, sf_dir).withColumn("kind", F.lit("sweep"))
-    return cut(events.join(measures, ["symbol", "kind", "i", "side", "price"], "left"), "events")
+    zones = spark_query(EVENTS["supply_demand_zones"])(spark, sf_dir).select("symbol", F.lit("zone").alias("kind"), "i", F.col("zone_kind").alias("side"), "zone_low", "pivot_i")
+    return cut(events.join(measures, ["symbol", "kind", "i", "side", "price"], "left").join(zones, ["symbol", "kind", "i", "side"], "left"), "events")
 
 
 def _logged(spark: SparkSession, events: DataFrame) -> DataFrame:
@@ -124,8 +128,18 @@ def funnel_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel(typed(_logged(spark, _events(spark, sf_dir)), "sweep"))
 
 
-QUERIES = {"event_log_replay": event_log_replay, "funnel_replay": funnel_replay}
+def zones_from(events: DataFrame) -> DataFrame:
+    """The zones that a log holds, without the bars they were found on."""
+    return typed(events, "zone").select("symbol", "i", "conf", F.col("side").alias("zone_kind"), "pivot_i", F.col("price").alias("zone_high"), "zone_low")
+
+
+def zones_from_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zones_from(_logged(spark, _events(spark, sf_dir)))
+
+
+QUERIES = {"event_log_replay": event_log_replay, "funnel_replay": funnel_replay, "zones_from_log": zones_from_log}
 ORACLES = {
     "event_log_replay": f"SELECT symbol, kind, count(*) AS logged, count(*) AS fresh, 0::BIGINT AS differing FROM ({with_tables(EVENTS['events_union'])}) GROUP BY symbol, kind",
+    "zones_from_log": with_tables(EVENTS["supply_demand_zones"]),
     "funnel_replay": f"SELECT symbol, {_STEPS} FROM ({with_tables(STRUCTURE['sweep_measures'])}) GROUP BY symbol",
 }

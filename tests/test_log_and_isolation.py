@@ -31,7 +31,7 @@ def test_payloads_round_trip(spark, events, tmp_path):
     assert damaged.count() == 0 and read.count() == 5
     got = sorted((tuple(r) for r in log.typed(read, "sweep").collect()), key=repr)
     assert got == sorted([("A", 1, "sweep", 5, 4, "low", 10.1, "day_low", 0.25, 0.75, None, 7)] + [("B", 1, "sweep", 2, 1, "high", 0.1 + 0.2, "odd \"quotes\"\n", None, None, 0.5, None)] * 2, key=repr)
-    assert [tuple(r) for r in log.typed(read, "zone").collect()] == [("A", 2, "zone", 9, 8, "demand", 3.5)]
+    assert [tuple(r) for r in log.typed(read, "zone").collect()] == [("A", 2, "zone", 9, 8, "demand", 3.5, None, None)]
     assert log.reconcile(read, events).where("differing > 0 or logged <> fresh").count() == 0
     funnel = {r["symbol"]: tuple(r)[1:] for r in log.funnel(log.typed(read, "sweep")).collect()}
     assert funnel == {"A": (1, 1, 1, 0), "B": (2, 0, 0, 0)}

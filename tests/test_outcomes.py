@@ -164,6 +164,38 @@ def test_tie_conventions_of_the_frozen_signal(spark, dense):
     assert got["stop_first"]["mean"] < got["tie_split"]["mean"] < got["tie_win"]["mean"]
 
 
+# -- zones and deciles ------------------------------------------------------------
+
+
+def test_zone_measures_by_a_loop(spark, dense):
+    bars = grouped(FRAMES["bars_1h"][0](spark, dense))
+    got = {(r["symbol"], r["i"], r["zone_kind"], r["at_i"]): r for r in QUERIES["zone_measures"](spark, dense).collect()}
+    seen = defaultdict(int)
+    for z in QUERIES["supply_demand_zones"](spark, dense).collect():
+        high, low, supply = z["zone_high"], z["zone_low"], z["zone_kind"] == "supply"
+        for b in bars[z["symbol"]][z["conf"] + 1 : z["conf"] + 25]:
+            r = got.pop((z["symbol"], z["i"], z["zone_kind"], b["i"]))
+            away = (b["h"] < low) if supply else (b["l"] > high)
+            edge = min(b["h"], high) if supply else max(b["l"], low)
+            wick = None if away else (high - edge if supply else edge - low) / (high - low)
+            inside = low <= b["c"] <= high
+            close = (high - b["c"] if supply else b["c"] - low) / (high - low) if inside else 0
+            distance = max(0, b["c"] - high) + min(0, b["c"] - low)
+            assert (r["age"], r["height"], r["distance"], r["close_depth"]) == pytest.approx((b["i"] - z["i"], high - low, distance, close), abs=1e-6)
+            assert r["wick_depth"] is None if wick is None else r["wick_depth"] == pytest.approx(wick, abs=1e-6)
+            seen[z["zone_kind"], wick is None, inside, distance > 0, distance < 0] += 1
+    assert not got and len(seen) > 6
+
+
+def test_deciles(spark, dense):
+    values = [None, float("nan"), -0.1, 0.0, 9.99, 10.0, 55.5, 99.99, 100.0, 120.0]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, x double")
+    got = [r["d"] for r in spark.sql(f"SELECT k, {outcomes.decile_sql('x')} AS d FROM {{t}} ORDER BY k", t=df).collect()]
+    assert got == ["unknown", "unknown", "unknown", "0-10", "0-10", "10-20", "50-60", "90-100", "90-100", "90-100"]
+    rows = QUERIES["range_deciles"](spark, dense).collect()
+    assert {r["decile"] for r in rows} == {f"{k}-{k + 10}" for k in range(0, 100, 10)} and sum(r["bars"] for r in rows) == FRAMES["bars_1h"][0](spark, dense).count()
+
+
 # -- metrics ----------------------------------------------------------------------
 
 
