@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -430,7 +431,12 @@ def _components(vectors: DataFrame, kind: str) -> DataFrame:
 
 
 def _audit(vectors: DataFrame, components: DataFrame, kind: str, sample: int) -> tuple[int, int]:
-    picked = vectors.where("key is not null").orderBy(F.xxhash64("id")).limit(sample).collect()
+    usable = vectors.where("key is not null").select("id", "label", "key")
+    linked = usable.join(components.where("n_links > 0").select(F.col("vec_id").alias("id")), "id")
+    # At most twice the sample reaches the driver: rows of any kind, and rows that the graph linked, as most have no partner.
+    picked = list({r["id"]: r for rows in (usable, linked) for r in rows.orderBy(F.xxhash64("id")).limit(sample).collect()}.values())
+    if not picked:
+        return 0, 0
     queries: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
     for at in {(r["label"], len(r["key"])) for r in picked}:
         own = [r for r in picked if (r["label"], len(r["key"])) == at]
@@ -462,7 +468,9 @@ def _audit(vectors: DataFrame, components: DataFrame, kind: str, sample: int) ->
 def audit_recall(rows: DataFrame, sample: int = AUDITED, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[int, int]:
     """(found, true): pairs at cosine >= THRESHOLD of sampled queries with all rows, and those that share a component.
 
-    The queries are the ``sample`` usable rows whose ids hash lowest; ids must be distinct.
+    The queries are the ``sample`` usable rows whose ids hash lowest, and as many of
+    those that the graph linked, whose other partners it may have missed; ids must be
+    distinct. With no true pair among them, recall is not measured.
     """
     kind = _kind(rows, vector_col)
     vectors = cut(_vectors(rows, id_col, vector_col, label_col), "audit-vectors")
@@ -470,12 +478,17 @@ def audit_recall(rows: DataFrame, sample: int = AUDITED, id_col: str = "vec_id",
 
 
 def audited_components(rows: DataFrame, sample: int = AUDITED, least: float = LEAST_RECALL) -> DataFrame:
-    """``vector_components`` of rows with distinct ids, checked: the job fails if the audit's recall is under ``least``."""
+    """``vector_components`` of rows with distinct ids, checked: the job fails if the audit's recall is under ``least``.
+
+    Where the audit's queries have no partner at all it warns that recall is unmeasured.
+    """
     kind = _kind(rows, "embedding")
     vectors = cut(_vectors(rows, "vec_id", "embedding", "label"), "vectors")
     out = cut(_components(vectors, kind), "vectors-components")
     found, true = _audit(vectors, out, kind, sample)
-    if found < least * true:
+    if not true:
+        warnings.warn("recall is unmeasured: no query of the audit has a partner", stacklevel=2)
+    elif found < least * true:
         raise RuntimeError(f"the graph found {found} of {true} pairs of the audit")
     return out
 

@@ -42,6 +42,28 @@ def test_recall_across_two_levels_of_shards(spark, monkeypatch):
     assert members.where("node").select("rep").distinct().count() == 1200
 
 
+def test_the_audit_of_the_query_measures_pairs_and_can_fail(spark, monkeypatch):
+    """2,000 pairs among 6,000 vectors in many shards: the default sample meets over 100, and the job fails if half are lost."""
+    monkeypatch.setattr(embedding_dedup, "SHARD", 60)
+    rng = np.random.default_rng(5)
+    x = np.vstack([pairs_near(rng, 2000, 48), rng.normal(size=(2000, 48))])
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    found, true = embedding_dedup.audit_recall(frame)
+    assert true >= 100 and found >= 0.9 * true
+    real = embedding_dedup._components
+    lost = lambda v, kind: real(v, kind).withColumn("component_id", F.when(F.col("vec_id") % 2 == 0, F.col("vec_id")).otherwise(F.col("component_id")))
+    monkeypatch.setattr(embedding_dedup, "_components", lost)
+    with pytest.raises(RuntimeError, match="pairs of the audit"):
+        embedding_dedup.audited_components(frame)
+
+
+def test_recall_without_pairs_is_unmeasured(spark):
+    x = np.random.default_rng(3).normal(size=(300, 32))
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    with pytest.warns(UserWarning, match="unmeasured"):
+        assert embedding_dedup.audited_components(frame).where("kept").count() == 300
+
+
 def test_doubles_stay_doubles(spark):
     big = 1e300
     rows = [(1, [big, 0.0], 0), (2, [big, 1.0], 0), (3, [1e-300, 0.0], 0), (4, [0.0, 1.0], 0), (5, [float("inf"), 1.0], 0)]
