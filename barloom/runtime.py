@@ -59,6 +59,14 @@ def cut_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def free_prefix(columns: list[str]) -> str:
+    """Underscores with which no column begins, so that names made with it clash with none."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def prefix_sums(
     df: DataFrame,
     order: list[str],
@@ -73,28 +81,31 @@ def prefix_sums(
     its own partition. ``totals`` maps new column names to the summed columns.
     With ``keys`` the sums restart at each key; a key that fills many partitions
     is still spread over them. Ties in the order share a partition and are taken
-    in an arbitrary order that the written table then fixes.
+    in an arbitrary order that the written table then fixes. All columns are kept,
+    whatever their names.
     """
     keys = keys or []
+    own = free_prefix([*df.columns, *totals])
+    pid, tie = f"{own}pid", f"{own}tie"
     dealt = (
-        df.withColumns({f"__{n}": c for n, c in totals.items()})
+        df.withColumns({f"{own}sum_{n}": c for n, c in totals.items()})
         .repartitionByRange(*[F.col(c) for c in keys + order])
-        .withColumn("__pid", F.spark_partition_id())
-        .withColumn("__tie", F.monotonically_increasing_id())
+        .withColumn(pid, F.spark_partition_id())
+        .withColumn(tie, F.monotonically_increasing_id())
     )
     dealt = cut(dealt, tag)
-    parts = dealt.groupBy(*keys, "__pid").agg(*[F.sum(f"__{n}").alias(f"__{n}_part") for n in totals])
-    before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(*keys, pid).agg(*[F.sum(f"{own}sum_{n}").alias(f"{own}part_{n}") for n in totals])
+    before = Window.partitionBy(*keys).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col("__pid").alias("__p"),
-        *[F.coalesce(F.sum(f"__{n}_part").over(before), F.lit(0)).alias(f"__{n}_base") for n in totals],
+        *[F.col(k).alias(f"{own}k{i}") for i, k in enumerate(keys)],
+        F.col(pid).alias(f"{own}p"),
+        *[F.coalesce(F.sum(f"{own}part_{n}").over(before), F.lit(0)).alias(f"{own}base_{n}") for n in totals],
     )
-    own = Window.partitionBy("__pid", *keys).orderBy(*order, "__tie").rowsBetween(Window.unboundedPreceding, -1)
-    on = F.col("__pid") == F.col("__p")
+    within = Window.partitionBy(pid, *keys).orderBy(*order, tie).rowsBetween(Window.unboundedPreceding, -1)
+    on = F.col(pid) == F.col(f"{own}p")
     for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    local = dealt.withColumns({f"__{n}_own": F.coalesce(F.sum(f"__{n}").over(own), F.lit(0)) for n in totals})
+        on = on & F.col(k).eqNullSafe(F.col(f"{own}k{i}"))
+    local = dealt.withColumns({f"{own}own_{n}": F.coalesce(F.sum(f"{own}sum_{n}").over(within), F.lit(0)) for n in totals})
     return local.join(parts, on).select(
-        *df.columns, *[(F.col(f"__{n}_own") + F.col(f"__{n}_base")).alias(n) for n in totals]
+        *df.columns, *[(F.col(f"{own}own_{n}") + F.col(f"{own}base_{n}")).alias(n) for n in totals]
     )
