@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.runtime import cut, prefix_sums
+from barloom.runtime import cut, free_prefix, prefix_sums
 
 SHARDS = 8
 
@@ -32,15 +32,17 @@ def shard_by_bytes(rows: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
         raise ValueError("shards must be positive")
     rows = rows.drop("shard", "slot")
     size = F.coalesce(F.col(size_col).cast("long"), F.lit(0))
-    placed = prefix_sums(rows, [id_col], {"__before": size, "__row": F.lit(1).cast("long")}, tag="shard")
+    own = free_prefix(rows.columns)
+    before, row = f"{own}before", f"{own}row"
+    placed = prefix_sums(rows, [id_col], {before: size, row: F.lit(1).cast("long")}, tag="shard")
     placed = cut(placed, "shard-prefix")
     total = max(1, placed.agg(F.sum(size)).first()[0] or 0)
-    middle = (F.col("__before") * 2 + size).cast("decimal(28,0)") * shards
+    middle = (F.col(before) * 2 + size).cast("decimal(28,0)") * shards
     placed = placed.withColumn("shard", F.least(F.floor(middle / F.lit(2 * total).cast("decimal(20,0)")).cast("int"), F.lit(shards - 1)))
-    first = placed.groupBy(F.col("shard").alias("__shard")).agg(F.min("__row").alias("__first"))
+    first = placed.groupBy(F.col("shard").alias(f"{own}shard")).agg(F.min(row).alias(f"{own}first"))
     # A row for each shard at most.
-    return placed.join(F.broadcast(first), F.col("shard") == F.col("__shard")).select(
-        *rows.columns, "shard", (F.col("__row") - F.col("__first")).alias("slot")
+    return placed.join(F.broadcast(first), F.col("shard") == F.col(f"{own}shard")).select(
+        *rows.columns, "shard", (F.col(row) - F.col(f"{own}first")).alias("slot")
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.batches import small_batches
 from barloom.llm.graph import Forest, block_pairs, connected_components
-from barloom.runtime import cut
+from barloom.runtime import cut, free_prefix
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -304,8 +304,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     component has no doc_id stay too.
     """
     found = simhash_components(docs, width)
-    gone = found.where("id is not null and id <> component_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    name = f"{free_prefix(docs.columns)}gone"
+    gone = found.where("id is not null and id <> component_id").select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
