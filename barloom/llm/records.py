@@ -4,11 +4,12 @@ A file is a run of frames: the payload's length (uint64), the masked CRC-32C of
 those eight bytes (uint32), the payload, and the payload's masked CRC-32C
 (uint32), all little-endian. A payload is a header (int64 doc_id, uint8 flags,
 uint8 bytes per id, uint32 count) and the ids. The index, a table beside the
-files, has file, offset and length of each record, for shuffled reads.
+files, has file, offset and length of each record, for shuffled reads (``read_at``).
 """
 
 from __future__ import annotations
 
+import io
 import struct
 
 import numpy as np
@@ -26,6 +27,8 @@ _HEAD = struct.Struct("<qBBI")
 _LENGTH = struct.Struct("<QI")
 NO_ID = 1
 _TABLE_BYTES = 2048
+#: Files that a task of ``read_at`` keeps open.
+OPEN_FILES = 32
 
 
 def _step_table() -> np.ndarray:
@@ -111,7 +114,8 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0,
     """Encode ``docs`` into record files under ``path``; returns the index, read from ``path/index``.
 
     Files follow ascending id (null ids first, equal ids in any order), each file
-    one range of ids and sorted within; ``end_id`` ends each document. A null or
+    one range of ids, and of hashes of the texts where many rows share an id, and
+    sorted within; ``end_id`` ends each document. A null or
     empty text gives that id alone. A task writes under a name of its own attempt
     and then renames, so a repeated task replaces the same file. Other columns are
     left out. An empty table gives an empty index.
@@ -149,7 +153,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0,
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     ordered.mapInArrow(task, "file string, doc_id long, offset long, length long, n_tokens long").write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 
@@ -192,6 +196,40 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.repartition(n).mapInArrow(task, "file string, doc_id long, start long, n_tokens long, ids binary")
 
 
+def read_at(index: DataFrame, path: str) -> DataFrame:
+    """(file, offset, doc_id, n_tokens, ids) of the records that rows of the index name, in the order of these rows.
+
+    ``index`` is any selection of the index under ``path``, in any order, such as
+    one dealt anew for training; a row that occurs twice is read twice. A task
+    seeks to each record, so it reads no others, and keeps a few files open. Fails
+    on a wrong checksum and where the index and a record disagree. An empty
+    selection gives an empty table; other columns are left out.
+    """
+
+    def task(batches):
+        fs, folder = pyarrow.fs.FileSystem.from_uri(path)
+        held: dict[str, pa.NativeFile] = {}
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                rows = []
+                for file, doc_id, offset, length, tokens in zip(*(c.to_pylist() for c in b.slice(i, 256).columns)):
+                    if file not in held:
+                        if len(held) >= OPEN_FILES:
+                            held.pop(next(iter(held))).close()
+                        held[file] = fs.open_input_file(f"{folder}/records/{file}")
+                    held[file].seek(offset)
+                    found, ids = parse(read_frame(io.BytesIO(held[file].read(length))) or b"")
+                    if found != doc_id or len(ids) != tokens:
+                        raise ValueError(f"{file} has another record at {offset} than its index says")
+                    rows.append((file, offset, doc_id, tokens, ids.tobytes()))
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["file", "offset", "doc_id", "n_tokens", "ids"])
+        for stream in held.values():
+            stream.close()
+
+    return index.select("file", "doc_id", "offset", "length", "n_tokens").mapInArrow(task, "file string, offset long, doc_id long, n_tokens long, ids binary")
+
+
 def ids_crc(ids: str = "ids"):
     return F.crc32(F.col(ids))
 
