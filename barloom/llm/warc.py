@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import struct
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
@@ -19,10 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.batches import small_batches
-from barloom.runtime import fresh_path
+from barloom.llm.bit_filter import filter_of, may_hold
+from barloom.runtime import cut, fresh_path
 
 MAGIC = 0x184D2A5D
 LEAST_SHARED = 1000
+#: Bits of the filter that tells which pages share their payload.
+FILTER_BITS = 1 << 25
 #: The dictionary is trained on this many bytes of a file's first records, each to SAMPLE_MOST bytes of it.
 TRAIN_BYTES, SAMPLE_MOST, DICTIONARY_BYTES = 4 << 20, 16 << 10, 64 << 10
 LEVEL = 6
@@ -146,20 +150,32 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
 
     Of rows whose payloads are equal and of LEAST_SHARED bytes or more, that with
     the largest id is the response, and so are rows that repeat its id or have
-    none; the others refer to it. A digest that no other row has is settled before
-    the join, and a digest that very many have is one row on its side.
+    none; the others refer to it. Digests that several rows have are found first,
+    without the payloads. Only rows that a filter of FILTER_BITS bits takes for one
+    of these meet them in a join; the payloads of the others stay where they were
+    read. Beyond some ten million shared digests the filter lets all rows through.
     """
     body = F.encode(F.coalesce(payload_col, F.lit("")), "UTF-8")
     sized = pages.withColumns({"payload_bytes": F.octet_length(body).cast("long"), "payload_digest": F.sha1(body)})
-    shared = (
+    shared = cut(
         sized.where(F.col("payload_bytes") >= LEAST_SHARED)
         .groupBy(F.col("payload_digest").alias("__digest"))
         .agg(F.max(id_col).alias("__latest"), F.count("*").alias("__n"))
-        .where("__n > 1").drop("__n")
+        .where("__n > 1").drop("__n"),
+        "warc-shared",
     )
-    same = sized["payload_digest"] == F.col("__digest")
+    latest = shared.schema["__latest"].dataType
+    bits = pages.sparkSession.sparkContext.broadcast(filter_of(shared.select(F.xxhash64("__digest")), FILTER_BITS))
+
+    @F.pandas_udf("boolean")
+    def maybe(names: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(bits.value, names.to_numpy()))
+
+    told = sized.withColumn("__maybe", (F.col("payload_bytes") >= LEAST_SHARED) & maybe(F.xxhash64("payload_digest")))
+    met = told.where("__maybe").join(shared, F.col("payload_digest") == F.col("__digest"), "left")
     refers = F.when(F.col(id_col) < F.col("__latest"), F.col("__latest"))
-    return sized.join(shared, same, "left").withColumn("refers_to", refers).drop("__digest", "__latest")
+    met = met.withColumn("refers_to", refers).select(*sized.columns, "refers_to")
+    return met.union(told.where("not __maybe").select(*sized.columns, F.lit(None).cast(latest).alias("refers_to")))
 
 
 def write_archives(pages: DataFrame, path: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, embedding_dedup, graph, licenses, packing, quality_classifier, quality_rules, records, sharding, simhash, textstats, warc
+from barloom.llm import bpe, embedding_dedup, graph, licenses, near_dups, packing, quality_classifier, quality_rules, records, sharding, simhash, textstats, warc
 from barloom.llm.tokens import encoder, public_vocabulary
 from barloom.runtime import fresh_path
 
@@ -371,6 +371,19 @@ def test_records(spark, docs, none):
         start += r["n_tokens"]
     got = Counter((r["doc_id"], bytes(r["ids"])) for r in read)
     assert got == Counter((i, np.array([*library(BYTE, t), 0], "<u4").tobytes()) for i, t in TEXTS)
+    chosen = [*index.collect()] * 2
+    np.random.default_rng(3).shuffle(chosen)
+    chosen = [tuple(r) for r in chosen[: len(TEXTS)]]
+    drawn = records.read_at(spark.createDataFrame(chosen, index.schema).coalesce(1), path).collect()
+    by_place = {(r["file"], r["offset"]): r for r in index.collect()}
+    assert [(r["file"], r["offset"]) for r in drawn] == [(c[0], c[2]) for c in chosen]
+    for r in drawn:
+        assert (r["doc_id"], r["n_tokens"]) == (by_place[r["file"], r["offset"]]["doc_id"], len(r["ids"]) // 4)
+    whole = records.read_at(index.orderBy(F.xxhash64("offset", "file")), path).collect()
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in whole) == got
+    with pytest.raises(Exception, match="another record"):
+        records.read_at(index.withColumn("doc_id", F.lit(-5).cast("long")), path).collect()
+    assert records.read_at(index.limit(0), path).count() == 0
     empty = fresh_path(spark, "test-records")
     records.write_records(none, empty, public_vocabulary(BYTE))
     assert records.read_records(spark, empty).count() == 0
@@ -426,7 +439,7 @@ def test_graph_recall():
 # -- archives, shards ---------------------------------------------------------
 
 
-def test_archives(spark):
+def test_archives(spark, monkeypatch):
     body = "<html>" + "payload é " * 200
     rows = [(1, "http://a/\r\nX: y", body), (5, "http://b/", body), (3, None, body), (None, "u", body), (7, "u", "small"), (8, "u", "small"), (9, "u", None), (10, "u", ""), (5, "again", body)]
     rows += [(100 + i, f"http://h/{i}", f"<p>{i}</p>" + "text of some page " * 80) for i in range(60)]
@@ -444,6 +457,10 @@ def test_archives(spark):
     assert got == want
     for r in read:
         assert r["record_type"] == "revisit" or hashlib.sha1(r["payload"]).hexdigest() == r["payload_digest"]
+    monkeypatch.setattr(warc, "FILTER_BITS", 64)  # lets most pages through
+    again = fresh_path(spark, "test-warc")
+    warc.write_archives(pages, again)
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, again).collect()) == want
     empty = fresh_path(spark, "test-warc")
     warc.write_archives(pages.limit(0), empty)
     assert warc.read_archives(spark, empty).count() == 0
@@ -476,3 +493,16 @@ def test_shards(docs, none):
         assert [r["slot"] for r in own] == list(range(len(own)))
         assert sum(r["size"] for r in own) <= total / 4 + largest
     assert sharding.shard_by_bytes(none.withColumn("size", F.lit(1))).count() == 0
+
+
+def test_names_of_columns_may_clash(spark):
+    names = ["__before", "__row", "__pid", "__tie", "__gone", "__k0", "___gone", "shard"]
+    rows = [(i, f"words of text number {i // 2}", *[i + k for k in range(len(names))]) for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names)).repartition(3)
+    for drop in (near_dups.drop_near_duplicates, simhash.drop_near_duplicates):
+        got = drop(frame)
+        assert got.columns == frame.columns and sorted(map(tuple, got.collect())) == rows[::2]
+    placed = sharding.shard_by_bytes(frame.withColumn("size", F.lit(5).cast("long")), 3)
+    got = sorted(map(tuple, placed.select(*frame.columns[:-1]).collect()))
+    assert got == [r[:-1] for r in rows]
+    assert sorted((r["shard"], r["slot"]) for r in placed.collect()) == [(s, k) for s in range(3) for k in range(4)]
