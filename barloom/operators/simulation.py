@@ -16,51 +16,76 @@ from barloom.runtime import prefix_sums
 from barloom.sources.frames import FRAMES
 
 RESAMPLES, SEED = 2000, 20240101
-#: Rows whose draws are held at once.
-HELD = 512
+#: Rows whose draws are held at once, few enough for a core's cache.
+HELD = 32
+#: Groups whose sums a task holds.
+GROUPS = 64
 #: Chances of 0, 1, 2 ... draws of one row in a resample of its own size.
 _POISSON = np.cumsum(np.exp(-1) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880], float))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """splitmix64's finish: well-spread 64 bits of a counter."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Draws by the 16 top bits of a hash, UNSURE where these do not tell.
+UNSURE = 255
+_EDGES = np.arange(1 << 16, dtype=np.uint64) << np.uint64(37)
+_LEAST, _MOST = (np.searchsorted(_POISSON, (_EDGES + np.uint64(e)) / float(1 << 53), side="right") for e in (0, (1 << 37) - 1))
+_DRAWS = np.where(_LEAST == _MOST, _LEAST, UNSURE).astype(float)
 
 
 def draws(keys: np.ndarray, resamples: int, seed: int) -> np.ndarray:
-    """(rows, resamples) Poisson(1) counts."""
-    step = np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    u = (_mix(keys.astype(np.uint64)[:, None] + step[None, :] + np.uint64(seed)) >> np.uint64(11)) / float(1 << 53)
-    return np.searchsorted(_POISSON, u, side="right")
+    """(rows, resamples) Poisson(1) counts, as floats: splitmix64 of a counter, compared with the chances."""
+    step = np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    x = keys.astype(np.uint64)[:, None] + step[None, :]
+    y = x >> np.uint64(30)
+    for shift, factor in ((27, 0xBF58476D1CE4E5B9), (48, 0x94D049BB133111EB)):
+        x ^= y
+        x *= np.uint64(factor)
+        np.right_shift(x, np.uint64(shift), out=y)
+    # The last step of the hash, x ^ (x >> 31), leaves the top bits as they are.
+    w = _DRAWS.take(y.view(np.int64))
+    at = np.nonzero(w == UNSURE)
+    left = x[at]
+    w[at] = np.searchsorted(_POISSON, ((left ^ (left >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), side="right")
+    return w
+
+
+def resampled(parts, resamples: int, seed: int):
+    """Frames (g, b, n, s): rows and sum of x that each resample b draws from the frames (g, x, n, k), once for a group where a task meets few."""
+    held: dict = {}
+
+    def frames():
+        for g, (n, s) in held.items():
+            yield pd.DataFrame({"g": g, "b": np.arange(resamples), "n": n.astype(np.int64), "s": s})
+        held.clear()
+
+    for p in parts:
+        for g, rows in p.groupby("g"):
+            if g not in held and len(held) == GROUPS:
+                yield from frames()
+            n, s = held.setdefault(g, (np.zeros(resamples), np.zeros(resamples)))
+            keys, both = rows["k"].to_numpy(np.int64), rows[["n", "x"]].to_numpy(float).T
+            for i in range(0, len(keys), HELD):
+                more = both[:, i : i + HELD] @ draws(keys[i : i + HELD], resamples, seed)
+                n += more[0]
+                s += more[1]
+    yield from frames()
 
 
 def replicates(rows: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """(g, b, m): the mean of each resample b of the rows (g, x, k)."""
-
-    def sums(parts):
-        for p in parts:
-            for g, rows in p.groupby("g"):
-                keys, x = rows["k"].to_numpy(np.int64), rows["x"].to_numpy(float)
-                n, s = np.zeros(resamples, np.int64), np.zeros(resamples)
-                for i in range(0, len(keys), HELD):
-                    w = draws(keys[i : i + HELD], resamples, seed)
-                    n += w.sum(axis=0)
-                    s += x[i : i + HELD] @ w
-                yield pd.DataFrame({"g": g, "b": np.arange(resamples), "n": n, "s": s})
-
-    return rows.mapInPandas(sums, "g string, b long, n long, s double").groupBy("g", "b").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
+    """(g, b, m): the mean of each resample b of the rows (g, x, n, k); x is the sum of n values that are drawn together."""
+    # The draws are dear and the rows small, so the rows are dealt by number of cores and not by size.
+    dealt = rows.select("g", "x", "n", "k").repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "k")
+    drawn = dealt.mapInPandas(lambda parts: resampled(parts, resamples, seed), "g string, b long, n long, s double")
+    return drawn.groupBy("g", "b").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
 
 
-def bootstrap_mean(values: DataFrame, group: str, value: str, key: str, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+def bootstrap_mean(values: DataFrame, group: str, value: str, key: str, resamples: int = RESAMPLES, seed: int = SEED, clustered: bool = False) -> DataFrame:
     """(group, n, mean, low, high, p_value): a 95 % percentile interval of the mean and its two-sided p-value.
 
-    p is (extreme + 1) / (resamples + 1), as in :func:`paired_difference`.
+    Rows with one key are drawn together; ``clustered`` says that many share theirs
+    and sums them first. p is (extreme + 1) / (resamples + 1), as in :func:`paired_difference`.
     """
     rows = values.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"), F.col(key).cast("long").alias("k")).where("x is not null")
     point = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
-    spread = replicates(rows, resamples, seed).join(point.select("g", "mean"), "g").groupBy("g").agg(
+    alike = rows.groupBy("g", "k").agg(F.sum("x").alias("x"), F.count("*").alias("n")) if clustered else rows.withColumn("n", F.lit(1).cast("long"))
+    spread = replicates(alike, resamples, seed).join(point.select("g", "mean"), "g").groupBy("g").agg(
         F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count_if(F.abs("m") >= F.abs("mean")).alias("extreme")
     )
     p = F.when(F.col("n") >= 2, (F.col("extreme") + 1) / F.lit(resamples + 1))
@@ -85,7 +110,7 @@ def paired_difference(events: DataFrame, baseline: DataFrame, group: str, value:
     point = e.groupBy("g").agg(F.count("*").alias("n"), F.avg("ex").alias("em")).join(b.groupBy("g").agg(F.count("*").alias("nb"), F.avg("bx").alias("bm")), "g")
     rows = e.join(point.select("g", "nb"), "g").select("g", "ex", F.col("at").alias("k"), (F.col("at") % F.col("nb")).alias("at")).join(b, ["g", "at"])
     point = point.select("g", "n", (F.col("em") - F.col("bm")).alias("mean"))
-    reps = replicates(rows.select("g", (F.col("ex") - F.col("bx")).alias("x"), "k"), resamples, seed).join(point, "g")
+    reps = replicates(rows.select("g", (F.col("ex") - F.col("bx")).alias("x"), F.lit(1).cast("long").alias("n"), "k"), resamples, seed).join(point, "g")
     spread = reps.groupBy("g", "n", "mean").agg(
         F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count_if(F.abs("m") >= F.abs("mean")).alias("extreme")
     )
@@ -102,7 +127,7 @@ def bootstrap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clustered_bootstrap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As bootstrap_runs, with whole entry months drawn together."""
     trades = FRAMES["ledger"][0](spark, sf_dir)
-    return bootstrap_mean(trades.withColumn("key", F.xxhash64("run_id", "entry_month")), "run_id", "net_r", "key")
+    return bootstrap_mean(trades.withColumn("key", F.xxhash64("run_id", "entry_month")), "run_id", "net_r", "key", clustered=True)
 
 
 def paired_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
