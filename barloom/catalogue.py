@@ -15,6 +15,6 @@ for _module in (validation, indicators, structure, events, joins, ledger_stats,
     _queries, _oracles = register(_module.SQL)
     QUERIES |= _queries
     ORACLES |= _oracles
-for _module in (folds, setups, simulation, backtest, portfolio, streaming, carried, audits, resampling, levels, outcomes, event_log, isolated, files):
+for _module in (ledger_stats, folds, setups, simulation, backtest, portfolio, streaming, carried, audits, resampling, levels, outcomes, event_log, isolated, files):
     QUERIES |= _module.QUERIES
 ORACLES |= streaming.ORACLES | carried.ORACLES | audits.ORACLES | resampling.ORACLES | levels.ORACLES | event_log.ORACLES | outcomes.ORACLES | isolated.ORACLES | files.ORACLES

@@ -6,6 +6,13 @@ at the end.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from barloom.operators.ordered import LAGS, lag_sums, longest_streaks, quantiles
+from barloom.runtime import cut
+from barloom.sources.frames import FRAMES
+
 SQL: dict[str, str] = {}
 _U = "CAST(sum({0}) AS BIGINT) AS {1}".format
 _ORDER = "exit_day, entry_day, trade_key, line, part_key, supp_key, net_u, notional_u, cost_u"
@@ -110,3 +117,57 @@ SQL["stage_ladder"] = """
 WITH f AS (SELECT count(*) AS s0, count(*) FILTER (WHERE side = 'long') AS s1, count(*) FILTER (WHERE side = 'long' AND gross_u > 0) AS s2, count(*) FILTER (WHERE side = 'long' AND net_u > 0) AS s3 FROM {ledger}),
 l AS (SELECT 0 AS stage, s0 AS n FROM f UNION ALL SELECT 1 AS stage, s1 AS n FROM f UNION ALL SELECT 2 AS stage, s2 AS n FROM f UNION ALL SELECT 3 AS stage, s3 AS n FROM f)
 SELECT CAST(stage AS BIGINT) AS stage, n, n - lag(n) OVER (ORDER BY stage) AS change, round(n * 1.0E0 / lag(n) OVER (ORDER BY stage), 9) AS share FROM l"""
+
+
+# -- queries whose SQL would hold a run, or all values of a group, in one task ----------
+
+#: Shares of r_distribution.
+SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+#: Basis points of bps_sensitivity.
+BPS = (10.0, 26.0, 39.0, 52.0)
+
+
+def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FRAMES["ledger"][0](spark, sf_dir)
+
+
+def r_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(_trades(spark, sf_dir).select("run_id", "side", "net_r"), "net-r")
+    stats = rows.groupBy("run_id", "side").agg(F.count("*").alias("n"), F.round(F.avg("net_r"), 6).alias("mean"), F.round(F.stddev_samp("net_r"), 6).alias("sd")).where("n >= 30")
+    found = quantiles(rows, ["run_id", "side"], "net_r", SHARES).select(F.col("run_id").alias("__run"), F.col("side").alias("__side"), "q")
+    joined = stats.join(found, F.col("run_id").eqNullSafe(F.col("__run")) & F.col("side").eqNullSafe(F.col("__side")), "left")
+    return joined.select("run_id", "side", "n", "mean", "sd", *[F.round(F.col("q")[j], 6).alias(f"p{int(q * 100):02d}") for j, q in enumerate(SHARES)])
+
+
+def bps_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(_trades(spark, sf_dir).select("notional_u", "risk_u"), "costs")
+    costs = rows.withColumn("bps", F.explode(F.array(*map(F.lit, BPS)))).select("bps", F.expr("bps * notional_u / 10000E0 / risk_u").alias("cost_r"))
+    counts = costs.groupBy("bps").agg(F.count("*").alias("trades"), F.count_if(F.col("cost_r") <= 0.2).alias("passing"))
+    return counts.join(quantiles(costs, ["bps"], "cost_r", [0.5]), "bps", "left").select("bps", "trades", "passing", F.round(F.col("q")[0], 6).alias("median_cost_r"))
+
+
+def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sign = F.when(F.col("net_u") > 0, 1).when(F.col("net_u") < 0, -1).otherwise(0)
+    found = longest_streaks(_trades(spark, sf_dir), "run_id", _ORDER.split(", "), sign)
+    return found.select("run_id", F.col("wins").alias("longest_wins"), F.col("losses").alias("longest_losses"))
+
+
+def autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = _ORDER.split(", ")
+    rows = cut(_trades(spark, sf_dir).select("run_id", "net_r", *order), "net-r")
+    means = rows.groupBy(F.col("run_id").alias("__run")).agg(F.avg("net_r").alias("mu"))
+    found = lag_sums(rows.join(F.broadcast(means), F.col("run_id") == F.col("__run")), "run_id", order, F.col("net_r") - F.col("mu"))
+    lags = [F.round(F.col("sums")[j] / F.nullif("squares", F.lit(0.0)), 6).alias(f"lag{j + 1}") for j in range(LAGS)]
+    return found.select("run_id", "n", *lags, F.round(2 / F.sqrt("n"), 9).alias("threshold"))
+
+
+def stage_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of all stages are taken in one pass; the window has a row for each stage."""
+    long_ = F.col("side") == "long"
+    counts = _trades(spark, sf_dir).agg(F.count("*").alias("s0"), F.count_if(long_).alias("s1"), F.count_if(long_ & (F.col("gross_u") > 0)).alias("s2"), F.count_if(long_ & (F.col("net_u") > 0)).alias("s3"))
+    stages = counts.select(F.posexplode(F.array("s0", "s1", "s2", "s3")).alias("stage", "n"))
+    was = F.lag("n").over(Window.orderBy("stage"))
+    return stages.select(F.col("stage").cast("long").alias("stage"), "n", (F.col("n") - was).alias("change"), F.round(F.col("n") * F.lit(1.0) / was, 9).alias("share"))
+
+
+QUERIES = {"r_distribution": r_distribution, "bps_sensitivity": bps_sensitivity, "streaks": streaks, "autocorrelation": autocorrelation, "stage_ladder": stage_ladder}
