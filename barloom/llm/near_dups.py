@@ -1,4 +1,8 @@
-"""Near-duplicates at an exact Jaccard similarity of five-word shingles, found by a prefix-filtered join."""
+"""Near-duplicates at an exact Jaccard similarity of five-word shingles.
+
+op1's SimHash proposes the first pairs, which are checked exactly; a prefix-filtered
+join then finds the similar pairs that its radius leaves out.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.graph import block_pairs, connected_components
-from barloom.llm.simhash import SEED, WORD
+from barloom.llm.simhash import SEED, WORD, simhash_components
 from barloom.llm.batches import small_batches
 from barloom.llm.bit_filter import filter_of, may_hold
 from barloom.runtime import cut, cut_at, free_prefix, remove
@@ -114,21 +118,28 @@ def prefix(shingles: np.ndarray, hot: np.ndarray, threshold: float = THRESHOLD)
     return shingles[: n - int(needed(n, threshold)) + 1] if n else shingles
 
 
-def _sets(docs: DataFrame, width: int, id_col: str, text_col: str, emit, schema: str) -> DataFrame:
-    """``emit(ids, nodes, sets)`` of each batch, as a table."""
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, name): rows of equal texts have one name."""
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("name"))
+
+
+def _sets(docs: DataFrame, width: int, id_col: str, text_col: str, emit, schema: str, wanted=None) -> DataFrame:
+    """``emit(rows, nodes, sets, state)`` of each batch, as a table; only of rows whose name the filter ``wanted`` may hold."""
 
     def task(batches):
         known, state = WordHashes(), set()
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
+                if wanted is not None:
+                    part = part.filter(pa.array(may_hold(wanted.value, part.column(2).to_numpy())))
                 sets = [shingle_set(t.as_py(), width, known) for t in part.column(1)]
-                out = emit(part.column(0), [node_of(s) for s in sets], sets, state)
+                out = emit(part, [node_of(s) for s in sets], sets, state)
                 if out.num_rows:
                     yield out
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(task, schema)
+    return _named(docs, id_col, text_col).mapInArrow(task, schema)
 
 
 def _once(nodes: list[int], sets: list[np.ndarray], state: set[int]) -> list[tuple[int, np.ndarray]]:
@@ -146,7 +157,7 @@ def _flat(parts: list[np.ndarray], kind) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, width: int, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """(id, node, n, keys, cold, brief, sketch): each row's set by name and size, with its prefix and sketch where the task meets the set first.
+    """(id, name, node, n, keys, cold, brief, sketch): each row's set by node and size, with its prefix and sketch where the task meets the set first.
 
     Of the keys the first ``cold`` are not hot. ``brief`` is the sketch folded to
     SKETCH bits, null if no key is hot.
@@ -157,7 +168,7 @@ def _prefixes(docs: DataFrame, width: int, id_col: str, text_col: str, threshold
     links; a good one gives few candidates.
     """
 
-    def keys(ids, nodes, sets, state):
+    def keys(part, nodes, sets, state):
         own = [s for _, s in _once(nodes, sets, state)]
         first = _flat([prefix(s, np.zeros(0, np.uint64), threshold) for s in own], np.uint64)
         rest, times = np.unique(_flat([s[len(prefix(s, np.zeros(0, np.uint64), threshold)) :] for s in own], np.uint64), return_counts=True)
@@ -169,7 +180,7 @@ def _prefixes(docs: DataFrame, width: int, id_col: str, text_col: str, threshold
     common = counts.orderBy(F.desc("count"), "key").limit(HOT_MOST).select("key").toArrow().column("key").to_numpy()
     hot = docs.sparkSession.sparkContext.broadcast(np.sort(common.view(np.uint64)))
 
-    def rows(ids, nodes, sets, state):
+    def rows(part, nodes, sets, state):
         own = {node for node, _ in _once(nodes, sets, state)}
         found = []
         for node, s in zip(nodes, sets):
@@ -181,11 +192,11 @@ def _prefixes(docs: DataFrame, width: int, id_col: str, text_col: str, threshold
             cold = len(first) - int(is_hot(first, hot.value).sum())
             found.append((first.view(np.int64), cold, folded(drawn, SKETCH // 8).tobytes() if cold < len(first) else None, drawn.tobytes()))
         own_columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()))]
-        columns = [ids, pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *own_columns]
-        return pa.record_batch(columns, names=["id", "node", "n", "keys", "cold", "brief", "sketch"])
+        columns = [part.column(0), part.column(2), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *own_columns]
+        return pa.record_batch(columns, names=["id", "name", "node", "n", "keys", "cold", "brief", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _sets(docs, width, id_col, text_col, rows, f"id {kind}, node long, n int, keys array<long>, cold int, brief binary, sketch binary")
+    return _sets(docs, width, id_col, text_col, rows, f"id {kind}, name long, node long, n int, keys array<long>, cold int, brief binary, sketch binary")
 
 
 #: Columns of a block. All entries of a hot key have sketches, those of another key none.
@@ -495,17 +506,31 @@ def _possible(found: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     return joined.select("u", "v", "n_a", "n_b", "a", "b").mapInArrow(task, "u long, v long").distinct()
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """(node, shingles) of the ``nodes`` (__node), each once, as a table, and its path."""
-    needed_bits = docs.sparkSession.sparkContext.broadcast(filter_of(nodes, FILTER_BITS))
+def _proposed(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+    """(u, v): sets of one component of op1's fingerprints, each beside the first of its fingerprint and the first of its component, and these two."""
+    found = simhash_components(docs.select(F.xxhash64(text_col).alias("name"), F.col(text_col).alias("text")), id_col="name")
+    found = found.select(F.col("id").alias("__name"), "fp", "component_id").distinct()
+    met = cut(rows.where("n > 0").select("name", "node").distinct().join(found, F.col("name") == F.col("__name")).select("node", "fp", "component_id").distinct(), "near-proposed")
+    own = met.groupBy(F.col("fp").alias("__fp"), F.col("component_id").alias("__of")).agg(F.min("node").alias("own"))
+    first = met.groupBy(F.col("component_id").alias("__component")).agg(F.min("node").alias("first"))
+    stars = met.join(own, F.col("fp") == F.col("__fp")).join(first, F.col("component_id") == F.col("__component"))
+    pairs = stars.select(F.explode(F.array(*[F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")) for x, y in (("node", "own"), ("node", "first"), ("own", "first"))])).alias("pair"))
+    return pairs.select("pair.u", "pair.v").where("u <> v").distinct()
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """(node, shingles) of the ``nodes`` (__node), each once, as a table, and its path.
+
+    A text of each is found by its name among ``rows``, so that few others are taken apart.
+    """
+    texts = rows.join(nodes, F.col("node") == F.col("__node")).groupBy("node").agg(F.min("name").alias("name")).select("name")
+    wanted = docs.sparkSession.sparkContext.broadcast(filter_of(texts, FILTER_BITS))
 
-    def rows(ids, own, sets, state):
-        bits = needed_bits.value
-        inside = may_hold(bits, np.array(own, np.int64))
-        met = _once([x for x, k in zip(own, inside) if k], [s for s, k in zip(sets, inside) if k], state)
+    def found(part, own, sets, state):
+        met = _once(own, sets, state)
         return pa.record_batch([pa.array([x for x, _ in met], pa.int64()), pa.array([s.tobytes() for _, s in met], pa.binary())], names=["node", "shingles"])
 
-    sets = _sets(docs, width, id_col, text_col, rows, "node long, shingles binary")
+    sets = _sets(docs, width, id_col, text_col, found, "node long, shingles binary", wanted)
     return cut_at(sets.join(nodes, F.col("node") == F.col("__node"), "left_semi").dropDuplicates(["node"]), "near-sets")
 
 
@@ -533,7 +558,8 @@ def near_components(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     Words are those of op1; the sets hold distinct shingles of ``width`` words.
     Documents without words are equal. No similar pair is missed: two sets this
     similar share an element of their prefixes, whatever the common order, and
-    every candidate is verified or already in one component. A key's sets are
+    every candidate is verified or already in one component. The first candidates
+    are those of op1's fingerprints. A key's sets are
     compared in blocks, so no task holds a key whole. Rows that share an id are
     compared apart and may be in unequal components; component_id is the smallest
     id of the component, null if it has none.
@@ -543,10 +569,13 @@ def near_components(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     spark = docs.sparkSession
     links = roots = tried = sets = None
     paths, settled = [], False
-    for k, most in enumerate([*PICKS, None]):
+    for k, most in enumerate([0, *PICKS, None]):
         if most and settled:
             continue
-        found = _picks(entries, roots, most, k, threshold) if most else _candidates(entries, roots, threshold)
+        if most is None:
+            found = _candidates(entries, roots, threshold)
+        else:
+            found = _picks(entries, roots, most, k - 1, threshold) if k else _proposed(docs, rows, text_col)
         if tried is not None:
             found = found.join(tried, ["u", "v"], "left_anti")
         found = cut(found, "near-found")
@@ -558,11 +587,12 @@ def near_components(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
             nodes = nodes.join(sets.select("node"), F.col("__node") == F.col("node"), "left_anti")
         nodes = cut(nodes, "near-nodes")
         if not nodes.isEmpty():
-            more, path = _sets_of(docs, nodes, width, id_col, text_col)
+            more, path = _sets_of(docs, nodes, rows, width, id_col, text_col)
             sets, paths = (more if sets is None else sets.union(more)), [*paths, path]
         fresh = _verified(found, sets, threshold) if sets is not None else found
-        settled = fresh.isEmpty()
-        if not settled:
+        none = fresh.isEmpty()
+        settled = bool(k) and none  # that op1 finds none says nothing of the join
+        if not none:
             links = fresh if links is None else links.union(fresh)
             roots = cut(connected_components(links), "near-roots")
     for path in paths:
