@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.operators.structure import SQL as STRUCTURE
 from barloom.plans.sql import spark_query, with_tables
 from barloom.runtime import cut, fresh_path, prefix_sums
-from barloom.sources.frames import FRAMES
+from barloom.sources.frames import FRAMES, epoch_ms
 
 # -- multisets ----------------------------------------------------------------
 
@@ -63,14 +63,14 @@ SHARES, DAY_MS = (0.4, 0.7, 0.9), 86_400_000
 
 def _ends(spark: SparkSession, sf_dir: str, shares: tuple[float, ...]) -> list[int]:
     """Whole days before which each prefix ends."""
-    low, high = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("t")).agg(F.min("t"), F.max("t")).first()
+    low, high = spark.read.parquet(f"{sf_dir}/events.parquet").select(epoch_ms("ts").alias("t")).agg(F.min("t"), F.max("t")).first()
     return [] if low is None else [int(low + s * (high - low)) // DAY_MS * DAY_MS for s in shares]
 
 
 def tagged_prefixes(spark: SparkSession, sf_dir: str, shares: tuple[float, ...] = SHARES) -> str:
     """A folder with the events of each prefix and of the whole, as symbols of their own: SYMBOL|0, |1, ... and |ALL."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    ms = epoch_ms("ts")
     tags = F.array(F.lit("ALL"), *[F.when(ms < end, F.lit(str(k))) for k, end in enumerate(_ends(spark, sf_dir, shares))])
     path = fresh_path(spark, "prefixes")
     tagged = events.withColumn("__tag", F.explode(F.filter(tags, lambda t: t.isNotNull())))
