@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.batches import small_batches
-from barloom.llm.tokens import encoder, public_vocabulary
+from barloom.llm.tokens import byte_characters, encoder, public_vocabulary
 
 #: A cut is made on average every 2 ** MASK_BITS bytes, none nearer than LEAST to the last.
 MASK_BITS = 11
@@ -189,16 +189,7 @@ class ChunkEncoder:
         return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
-def _byte_characters() -> dict[str, int]:
-    """The byte-level alphabet: printable Latin-1 stands for itself, the rest follows from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    table = {chr(b): b for b in plain}
-    for k, b in enumerate(b for b in range(256) if b not in set(plain)):
-        table[chr(0x100 + k)] = b
-    return table
-
-
-_CHAR_BYTE = _byte_characters()
+_CHAR_BYTE = byte_characters()
 _LOADED: dict[str, ChunkEncoder] = {}
 
 
