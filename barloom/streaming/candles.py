@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.runtime import fresh_path
-from barloom.sources.frames import TICKS_SQL, candles_sql, epoch_ms
+from barloom.sources.frames import TICKS_SQL, candles_sql, epoch_ms, price
 
 STATE = "open_tick long, open decimal(18,2), high decimal(18,2), low decimal(18,2), close_tick long, close decimal(18,2), volume long, trade_count long"
 
@@ -15,7 +15,7 @@ def partial_candles(events: DataFrame, timeframe: str = "1 hour", late: str = "2
     """Windowed candles of a stream of events; a window closes when the watermark has passed it."""
     ticks = events.select(
         F.upper("event_type").alias("symbol"), F.timestamp_millis(epoch_ms("ts")).alias("ts"), F.col("event_id").alias("tick_id"),
-        F.col("value").cast("decimal(18,2)").alias("price"), F.get_json_object("props", "$.k").cast("long").alias("qty"),
+        price("value").alias("price"), F.get_json_object("props", "$.k").cast("long").alias("qty"),
     )
     return (
         ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", timeframe).alias("w"))
