@@ -57,3 +57,9 @@ def test_every_sweep_by_its_latest_level(spark, dense, bars, swept):
     got = {(r["symbol"], r["i"], r["side"], r["price"]): (r["creation"], r["level_type"], r["conf"], r["next_close"]) for r in QUERIES["liquidity_sweeps"](spark, dense).collect()}
     assert got == {k: (*level, k[1] + 1, bars[k[0]][k[1] + 1]["c"]) for k, (level, _) in swept.items()}
     assert sum(n > 1 for _, n in swept.values()) > 100
+
+
+def test_every_sweep_is_measured(spark, dense, swept):
+    rows = QUERIES["sweep_measures"](spark, dense).collect()
+    assert len(rows) == len(swept)
+    assert {(r["symbol"], r["i"], r["side"], r["price"]): r["level_type"] for r in rows} == {k: level[1] for k, (level, _) in swept.items()}
