@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from barloom.runtime import cut_at, remove
@@ -48,37 +48,37 @@ def forest_of(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").mapInArrow(task, "u long, v long")
 
 
+def _state(edges: DataFrame) -> Row:
+    """Equal for equal edges, and for others all but never."""
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): root is the smallest node that the long edges (u, v) reach.
 
     Only nodes of some edge are returned. Alternating large-star and small-star
-    rounds: each is a minimum per node, combined before the shuffle, and a join
-    whose hot keys AQE splits. Each round is written to the shared folder. Null
-    ends, loops and repeated edges are left out.
+    rounds: each star is one shuffle by node, in whose order the minimum of a node
+    and its edges lie together, and the round's edges are made distinct. Each round
+    is written to the shared folder. Null ends, loops and repeated edges are left out.
     """
     spark = edges.sparkSession
     edges = edges.select("u", "v").where("u is not null and v is not null and u <> v")
     now, path = cut_at(
         forest_of(edges).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc"
     )
+    least = F.min("v").over(Window.partitionBy("u"))
+    state = _state(now)
     for _ in range(max_rounds):
         # Large star: each neighbour above a node, to the least of the node and its neighbours.
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: each node's lower neighbours, and itself, to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(least.select("u", F.col("m").alias("v")))
-            .where("u <> v").distinct()
-        )
+        large = both.withColumn("m", F.least("u", least)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Small star: each node's lower neighbours, and itself, to the least of them; the row of the least stands for the node.
+        small = large.withColumn("m", least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         then, then_path = cut_at(small, "cc")
-        same = then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        done = same == now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        before, state = state, _state(then)
         remove(spark, path)
         now, path = then, then_path
-        if done:
+        if state == before:
             break
     else:
         raise RuntimeError("the components have not settled")
